@@ -5,25 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds more than one row in HOT_SHARE; so at most HOT_SHARE keys are hot, which bounds the broadcast.
-HOT_SHARE = 200
+#: At most so many keys are treated as hot, which bounds the broadcast.
+HOT_KEYS = 200
 #: Pieces a hot key is cut into.
 SALTS = 64
 
 
 def hot_keys(rows: DataFrame, keys: list[str], floor: int = 20_000) -> DataFrame:
-    """Keys with more than max(floor, rows / HOT_SHARE) rows, at most HOT_SHARE of them.
+    """The keys with most rows, more than `floor` each and HOT_KEYS at most.
 
-    Counts are combined on the map side, so a hot key costs one row per task.
+    Counts are combined on the map side, so a hot key costs one row per task. A key
+    beyond these has at most one row in HOT_KEYS, which one task bears.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    return (
-        counts.filter(F.col("_n") > floor)
-        .crossJoin(F.broadcast(total))  # one row
-        .filter(F.col("_n") * HOT_SHARE > F.col("_total"))
-        .select(*keys)
-    )
+    return counts.filter(F.col("_n") > floor).orderBy(F.col("_n").desc(), *keys).limit(HOT_KEYS).select(*keys)
 
 
 def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, how: str = "inner", floor: int = 20_000) -> DataFrame:
