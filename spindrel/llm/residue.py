@@ -16,6 +16,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # ---- fixed values: notations of placeholders; a field name is letters and underscores ----
 _NAME = r"[A-Za-z][A-Za-z_]{2,30}"
@@ -146,7 +147,7 @@ def residue_kind(text: str | None) -> str:
     return "filler" if _filler(WORD.findall(text)) else ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _kind(texts: pd.Series) -> pd.Series:
     return texts.map(residue_kind)
 
