@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import table
-from . import fmindex, merkle, residue, setjoin, topn
+from . import fmindex, merkle, packing, pii, residue, setjoin, topn
 
 PAPERS = "researchmetadatascopus"
 
@@ -16,6 +16,18 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(tune(spark), sf_dir, name)
 
 
+# 1: personal information in free text
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_items(_t(spark, sf_dir, "suggestion")).select("suggestion_id", "pii_type", "start_pos").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with typed placeholders in place of personal items."""
+    return pii.redacted(_t(spark, sf_dir, "suggestion"))
+
+
 # 2: free-entered values and the canonical list
 
 
@@ -76,6 +88,23 @@ SELECT kerberos, publication_year, paper_id FROM papers WHERE trim(kerberos) <>
 QUALIFY row_number() OVER (PARTITION BY kerberos, publication_year ORDER BY citation_count DESC NULLS LAST, paper_id) <= 3
 """
 
+# 8: containers of fixed capacity
+
+CAPACITY = 2048
+#: Both syndicate the same items, so their texts are kept apart.
+APART = (("feed", "newsletter"),)
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_t(spark, sf_dir, "documents"), CAPACITY, apart=APART)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    filled = p8_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    return filled.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.round(F.avg("used") / CAPACITY, 6).alias("mean_fill"), F.min("used").alias("least_used"))
+
+
 # 9: evaluation passages in the corpus
 
 
@@ -105,11 +134,15 @@ def p10_clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p2_unmatched_values": p2_unmatched_values,
     "p5_found": p5_found,
     "p5_works": p5_works,
     "p7_found": p7_found,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_removal_spans": p9_removal_spans,
     "p10_found": p10_found,
