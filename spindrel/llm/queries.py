@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..sources.tables import table
-from . import fmindex, merkle, packing, pii, residue, setjoin, topn
+from . import fmindex, merkle, names, packing, pii, residue, setjoin, topn
 
 PAPERS = "researchmetadatascopus"
 
@@ -55,6 +55,14 @@ def p2_unmatched_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.filter("canonical_id = ''").groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# 4: variant spellings of names
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: _t(spark, sf_dir, name)
+    return names.same_person(t(PAPERS), t("faculty"), t("departments"))
+
+
 # 5: duplicates hidden by formatting
 
 _WORK = merkle.Ordered([merkle.Text("title"), merkle.Exact("publication_year")])
@@ -138,6 +146,7 @@ QUERIES = {
     "p1_redacted": p1_redacted,
     "p2_found": p2_found,
     "p2_unmatched_values": p2_unmatched_values,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_works": p5_works,
     "p7_found": p7_found,
