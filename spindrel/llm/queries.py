@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.orphans import reference_id
 from ..session import tune
 from ..sources.tables import table
-from . import fmindex, merkle, names, packing, pii, residue, setjoin, topn
+from . import fmindex, linkage, merkle, names, packing, pii, residue, setjoin, topn
 
 PAPERS = "researchmetadatascopus"
 
@@ -80,6 +81,33 @@ def p5_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.collapsed(_t(spark, sf_dir, PAPERS), "paper_id", tree).select(F.col("first").alias("first_paper_id"), "n_copies")
 
 
+# 6: matching entities across sources
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: _t(spark, sf_dir, name)
+    named = t(PAPERS)
+    for column, source in (("domain_id", "domains"), ("thematic_area_id", "themes")):
+        lookup = t(source).groupBy(F.lower("id").alias(f"_{column}")).agg(F.max("name").alias(f"{column}_name"))
+        named = named.withColumn(f"_{column}", reference_id(F.col(f"classification.{column}"))).join(lookup, f"_{column}", "left")
+    works = named.select(
+        "paper_id", "title", F.col("publication_year").alias("year"), F.transform("authors", lambda a: a["author_name"]).alias("people"),
+        F.array_compact(F.concat(F.coalesce("classification.topics", F.array()), F.array("domain_id_name", "thematic_area_id_name"))).alias("labels"),
+    )
+    sheets = t("build_kg").select(F.col("row_key").alias("record"), F.col("Title").alias("title"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("array<string>").alias("people"), F.array("Topic", "Domain", "Broad_Theme").alias("labels"))
+    profiles = t("scholar_papers").select(F.col("row_key").alias("record"), "title", "year", F.col("authors").alias("people"), F.lit(None).cast("array<string>").alias("labels"))
+    return linkage.match_works(works, sheets.unionByName(profiles)).select("paper_id", F.col("record").alias("row_key"), "confidence")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).select("paper_id", "row_key")
+
+
+def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matching rows with the confidence of each match."""
+    return _linked(spark, sf_dir)
+
+
 # 7: top items within every group
 
 
@@ -149,6 +177,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_works": p5_works,
+    "p6_found": p6_found,
+    "p6_confidence": p6_confidence,
     "p7_found": p7_found,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
