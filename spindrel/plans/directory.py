@@ -135,7 +135,7 @@ def _(r: Roles):
 
 _SUBJECTS = """subj AS (SELECT *, row_number() OVER (PARTITION BY expert_id ORDER BY n_papers DESC, subject) AS rank FROM (
   SELECT expert_id, trim(subject) AS subject, max(n) AS n_papers FROM (
-    SELECT f.expert_id, s.subject, s.n FROM (SELECT kerberos, unnest(subject_area) AS subject, count(*) AS n FROM pap WHERE trim(kerberos) <> '' GROUP BY ALL) s JOIN fac f USING (kerberos)
+    SELECT f.expert_id, s.subject, s.n FROM (SELECT kerberos, subject, count(*) AS n FROM (SELECT kerberos, unnest(subject_area) AS subject FROM pap WHERE trim(kerberos) <> '') GROUP BY ALL) s JOIN fac f USING (kerberos)
     UNION ALL SELECT expert_id, subject, count(*) FROM (SELECT expert_id, author_id, unnest(subject_area) AS subject FROM (SELECT unnest(authors).author_id AS author_id, subject_area FROM pap) JOIN (SELECT DISTINCT expert_id, unnest(scopus_id) AS author_id FROM fac) USING (author_id) WHERE trim(author_id) <> '') GROUP BY expert_id, author_id, subject)
   WHERE trim(subject) <> '' GROUP BY ALL) QUALIFY rank <= 8)"""
 
@@ -145,7 +145,7 @@ def _(r: Roles):
     return research.subjects(r.works, r.people)
 
 
-@query("research_areas", sql(PEOPLE, WORKS, _SUBJECTS, _AREAS.format(_BUCKETS + " UNION ALL SELECT faculty_id, 6, subject, rank FROM fac JOIN subj USING (expert_id)"), body="SELECT faculty_id, coalesce(array_to_string(areas, '|'), '') AS research_areas FROM fac LEFT JOIN area USING (faculty_id)"))
+@query("research_areas", sql(PEOPLE, WORKS, _SUBJECTS, _AREAS.format(_BUCKETS + " UNION ALL SELECT faculty_id, 6, subj.subject, rank FROM fac JOIN subj USING (expert_id)"), body="SELECT faculty_id, coalesce(array_to_string(areas, '|'), '') AS research_areas FROM fac LEFT JOIN area USING (faculty_id)"))
 def _(r: Roles):
     return research.research_areas(r.people, research.subjects(r.works, r.people))
 
