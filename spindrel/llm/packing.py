@@ -165,7 +165,7 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str = DEFAULT_TO
     )
     apart_ = list(apart)
 
-    def run(key, items: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         out = pack_shard(items, capacity, apart_)
         out["container_id"] = out["container"] * shards + int(key[0])
         return out[["doc_id", "piece", "n_pieces", "size", "container_id", "place"]]
