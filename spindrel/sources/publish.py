@@ -30,22 +30,23 @@ def publish(tables: dict[str, DataFrame], root: str, version: str, created_at: s
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
-    spark.createDataFrame([(version, created_at)], "version string, created_at string").coalesce(1).write.mode("overwrite").json(f"{root}/_versions/{version}")
-    fs, new, jvm = _fs(spark, f"{root}/_active.new")
+    spark.createDataFrame([(version, created_at)], "version string, created_at string").coalesce(1).write.mode("overwrite").json(f"{root}/versions/{version}")
+    fs, new, jvm = _fs(spark, f"{root}/active.new")
     out = fs.create(new, True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/_active")
-    fs.delete(pointer, False)
-    if not fs.rename(new, pointer):
-        raise OSError(f"cannot activate {version}")
+    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(new, jvm.org.apache.hadoop.fs.Path(f"{root}/active"), replace)
 
 
 def active_version(spark: SparkSession, root: str) -> str | None:
-    fs, p, _ = _fs(spark, f"{root}/_active")
+    fs, p, _ = _fs(spark, f"{root}/active")
     if not fs.exists(p):
         return None
-    return json.loads(spark.read.text(f"{root}/_active").first()[0])["version"]
+    row = spark.read.text(f"{root}/active").first()
+    return json.loads(row[0])["version"]
 
 
 def read_active(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -55,10 +56,10 @@ def read_active(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def collect_garbage(spark: SparkSession, root: str, names: list[str], keep: int = 2) -> list[str]:
     """Remove all versions but the `keep` newest and the active one, in every table; returns them."""
-    versions = spark.read.json(f"{root}/_versions/*")
+    versions = spark.read.json(f"{root}/versions/*")
     gone = [r["version"] for r in newest_versions(versions, keep, active_version(spark, root) or "").collect()]
     for version in gone:
-        for path in (*(f"{root}/{n}/version={version}" for n in names), f"{root}/_versions/{version}"):
+        for path in (*(f"{root}/{n}/version={version}" for n in names), f"{root}/versions/{version}"):
             fs, p, _ = _fs(spark, path)
             fs.delete(p, True)
     return gone
