@@ -88,17 +88,17 @@ def _(r: Roles):
 
 @query("faculty_indices", sql(PEOPLE, WORKS, OWNED, body="SELECT faculty_id, count(*) AS n, string_agg(i::VARCHAR, ',' ORDER BY i) AS indices FROM own JOIN place USING (paper_id) GROUP BY ALL"))
 def _(r: Roles):
-    return graph.indices_of(r.owned, graph.positions(r.works), "faculty_id")
+    return graph.indices_of(r.owned, r.places, "faculty_id")
 
 
 @query("unit_indices", sql(PEOPLE, WORKS, OWNED, body="SELECT unit_name, count(*) AS n, string_agg(i::VARCHAR, ',' ORDER BY i) AS indices FROM (SELECT DISTINCT unit_name, i FROM own JOIN home USING (faculty_id) JOIN place USING (paper_id)) GROUP BY ALL"))
 def _(r: Roles):
-    return graph.indices_of(r.owned.join(r.homes, "faculty_id"), graph.positions(r.works), "unit_name")
+    return graph.indices_of(r.owned.join(r.homes, "faculty_id"), r.places, "unit_name")
 
 
 @query("paper_positions", sql(WORKS, body="SELECT i, paper_id FROM place"))
 def _(r: Roles):
-    return graph.positions(r.works)
+    return r.places
 
 
 @query("year_indices", sql(WORKS, body="SELECT i FROM pap JOIN place USING (paper_id) WHERE publication_year >= 2023"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,15 +45,19 @@ class Roles:
     def homes(self) -> DataFrame:
         return identity.with_unit(self.people, self.departments).select("faculty_id", "unit_name")
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """Numbered once per query."""
+        return graph.positions(self.works)
+
     @property
     def points(self) -> DataFrame:
-        places = graph.positions(self.works)
-        return self.labelled_works.select("paper_id", "title", "theme", "domain", "subdomain", "topic", F.col("publication_year").alias("year"), "citation_count").join(places, "paper_id")
+        return self.labelled_works.select("paper_id", "title", "theme", "domain", "subdomain", "topic", F.col("publication_year").alias("year"), "citation_count").join(self.places, "paper_id")
 
     @property
     def unit_points(self) -> DataFrame:
         """Positions by unit of the papers' people."""
-        return self.owned.join(self.homes, "faculty_id").join(graph.positions(self.works), "paper_id").select("i", "unit_name").distinct()
+        return self.owned.join(self.homes, "faculty_id").join(self.places, "paper_id").select("i", "unit_name").distinct()
 
 
 _ID = r"CASE WHEN regexp_matches(lower({0}), '(^|[^0-9a-f])[0-9a-f]{{24}}($|[^0-9a-f])') THEN regexp_extract(lower({0}), '(^|[^0-9a-f])([0-9a-f]{{24}})($|[^0-9a-f])', 2) ELSE '' END"

@@ -45,7 +45,7 @@ def _(r: Roles):
 
 @query("base_set_by_unit", sql(PEOPLE, WORKS, OWNED, _UNIT_POINT, body="SELECT DISTINCT i FROM up WHERE lower(trim(unit_name)) = 'department of polymer dynamics'"))
 def _(r: Roles):
-    people_points = r.owned.join(r.people.select("faculty_id", "name"), "faculty_id").join(graph.positions(r.works), "paper_id").select("i", "name")
+    people_points = r.owned.join(r.people.select("faculty_id", "name"), "faculty_id").join(r.places, "paper_id").select("i", "name")
     return serve.base_set(r.points, r.unit_points, people_points, "Department of Polymer Dynamics ")
 
 
