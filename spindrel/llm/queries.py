@@ -155,6 +155,15 @@ def p9_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.removal_spans(documents, fmindex.matches(documents, _t(spark, sf_dir, "eval_items")))
 
 
+_P9 = r"""
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(regexp_replace(text, '([\p{L}\p{N}])-[ \t]*\r?\n[ \t]*([\p{L}\p{N}])', '\1\2', 'g')), '[\p{L}\p{N}]+') AS w FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(regexp_replace(text, '([\p{L}\p{N}])-[ \t]*\r?\n[ \t]*([\p{L}\p{N}])', '\1\2', 'g')), '[\p{L}\p{N}]+') FROM eval_items),
+g AS (SELECT side, id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT side, id, w, unnest(range(1, len(w) - 10)) AS k FROM w WHERE len(w) >= 12))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.g = i.g WHERE d.side = 'd' AND i.side = 'i'
+"""
+
+
 # 10: template residue
 
 
@@ -187,4 +196,4 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_clean_corpus": p10_clean_corpus,
 }
-SQL = {"p7_found": _P7}
+SQL = {"p7_found": _P7, "p9_found": _P9}

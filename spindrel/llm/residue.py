@@ -168,8 +168,8 @@ def residue(documents: DataFrame, least_titles: int = 3, most_words: int = 60) -
 
     A response is a body of at most `most_words` words whose masked form one host
     serves under at least `least_titles` different titles, sharing no term with its
-    own title, and with at least one word in ten a notice word. Documents are
-    counted over the whole corpus per masked form and host with map-side combining.
+    own title, and with at least one word in ten a notice word. Titles are
+    counted over the whole corpus per masked form and host; equal ones are combined on the map side first.
     Null and empty texts are no residue; null titles are no evidence; repeated ids
     appear once; an empty table gives no rows; other columns are ignored.
     """
@@ -187,7 +187,7 @@ def residue(documents: DataFrame, least_titles: int = 3, most_words: int = 60) -
         .filter(F.size(F.array_intersect(_terms(F.col("title")), _terms(F.col("text")))) == 0)
         .select("doc_id", "host", "title", F.xxhash64(F.array_join("body", " ")).alias("form"))
     )
-    served = short.groupBy("host", "form").agg(F.approx_count_distinct("title", 0.02).alias("titles")).filter(F.col("titles") >= least_titles)
+    served = short.groupBy("host", "form").agg(F.countDistinct("title").alias("titles")).filter(F.col("titles") >= least_titles)
     responses = short.join(served, ["host", "form"], "left_semi").select("doc_id", F.lit("response").alias("kind"))
     return known.unionByName(responses).groupBy("doc_id").agg(F.min("kind").alias("kind"))
 
