@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +88,70 @@ def similar(vectors: DataFrame, anchors: DataFrame, n: int = 5) -> DataFrame:
 
     w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
+
+
+#: Wanted and offered titles that meet in one task.
+BLOCKS = (200_000, 50_000)
+
+
+def fit_counts(wanted: DataFrame, offered: DataFrame, share: float = 0.6) -> DataFrame:
+    """How many offered titles (paper_id, title; each pair once) fit each wanted one (row_key, title) by the rule of `title_fits`: row_key, n_fits. Null titles fit nothing.
+
+    Exact. A word is contained in a title if it is in one of its words, which then
+    shares the word's first four letters; so containment is settled between distinct
+    words. Blocks of titles, as numbers of the words they contain, meet in pairs.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 3)
+    asks = wanted.filter(F.col("title").isNotNull()).select("row_key", F.lower("title").alias("wanted"))
+    a = asks.select("wanted").distinct().select("wanted", F.xxhash64("wanted").alias("a"), words(F.col("wanted")).alias("w"))
+    titles = offered.filter(F.col("title").isNotNull()).select("paper_id", "title").distinct()
+    b = titles.groupBy(F.lower("title").alias("offered")).agg(F.count(F.lit(1)).alias("n")).select(F.xxhash64("offered").alias("b"), "offered", "n")
+
+    there = b.select("b", "n", F.explode(F.array_distinct(words(F.col("offered")))).alias("around"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("around") - 3), lambda k: F.substring(F.col("around"), k, F.lit(4))))
+    within = (
+        a.select(F.explode("w").alias("word")).distinct().select("word", F.substring("word", 1, 4).alias("gram"))
+        .join(there.select("around").distinct().select("around", F.explode(grams).alias("gram")), "gram")
+        .filter(F.contains("around", F.col("word")))
+        .select(F.xxhash64("word").alias("word"), "around")
+    )
+    found = there.join(within, "around").groupBy("b", "n").agg(F.collect_set("word").alias("w"))
+    mine = a.filter(F.size("w") > 0).select("a", F.transform("w", lambda w: F.xxhash64(w)).alias("w"))
+    n_mine, n_theirs = (max(1, -(-df.count() // size)) for df, size in zip((a, b), BLOCKS))
+    left = mine.select(F.pmod("a", F.lit(n_mine)).alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_theirs - 1).cast("bigint"))).alias("y"), "a", "w")
+    right = found.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_mine - 1).cast("bigint"))).alias("x"), F.pmod("b", F.lit(n_theirs)).alias("y"), "n", "w")
+    counted = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(lambda p, q: _block_fits(p, q, share), "a bigint, n bigint")
+    fits = counted.groupBy("a").agg(F.sum("n").alias("n")).join(a, "a").select("wanted", "n")
+    every = a.filter(F.size("w") == 0).select("wanted").crossJoin(b.agg(F.sum("n").alias("n"))).filter("n > 0").select("wanted", "n")  # without long words a title fits all
+    return asks.join(fits.unionByName(every), "wanted").groupBy("row_key").agg(F.sum("n").alias("n_fits"))
+
+
+def _block_fits(mine: pa.Table, theirs: pa.Table, share: float) -> pa.Table:
+    """Per wanted title (a, w) the sum of n of the titles (n, w) that contain `share` of its words."""
+    flat = lambda t: (t.column("w").combine_chunks().flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(t.column("w")).to_numpy())]).astype(np.int64))
+    ids, sums = [], []
+    if mine.num_rows and theirs.num_rows:
+        (w, at), (v, end) = flat(mine), flat(theirs)
+        n = theirs.column("n").to_numpy()
+        order = np.argsort(v, kind="stable")
+        titles = np.repeat(np.arange(len(n)), np.diff(end))[order]
+        known, first = np.unique(v[order], return_index=True)
+        first = np.append(first, len(titles))
+        place = np.minimum(np.searchsorted(known, w), len(known) - 1)
+        place[known[place] != w] = -1
+        names = mine.column("a").to_numpy()
+        met = np.zeros(len(n), np.int32)
+        for i in range(len(names)):
+            size = at[i + 1] - at[i]
+            need = next(k for k in range(max(0, int(size * share) - 1), size + 1) if k / size >= share)
+            lists = [k for k in place[at[i] : at[i + 1]] if k >= 0]
+            if len(lists) < need:
+                continue
+            met.fill(0)
+            for k in lists:
+                met[titles[first[k] : first[k + 1]]] += 1
+            total = int(n[met >= need].sum())
+            if total:
+                ids.append(names[i])
+                sums.append(total)
+    return pa.table({"a": pa.array(ids, pa.int64()), "n": pa.array(sums, pa.int64())})

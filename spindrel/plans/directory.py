@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import title_fits
-from ..operators import directory, maintain, research
+from ..operators import directory, maintain, research, search
 from .roles import PEOPLE, WORKS, Roles, sql
 
 DOMAIN = "aravi-inst.example"
@@ -283,3 +283,13 @@ def _(r: Roles):
     s = r.t("scholar_papers").select("row_key", F.col("title").alias("wanted"), key.alias("k"))
     p = r.t("researchmetadatascopus").select("paper_id", F.col("title").alias("offered"), key.alias("k")).distinct()
     return s.join(p, "k").filter(title_fits(F.col("wanted"), F.col("offered"))).groupBy("row_key").agg(F.count(F.lit(1)).alias("n_fits"))
+
+
+@query(
+    "profile_title_overlaps",
+    r"""WITH s AS (SELECT row_key, list_filter(regexp_split_to_array(lower(title), '\s+'), lambda w: length(w) > 3) AS w FROM scholar_papers WHERE title IS NOT NULL),
+p AS (SELECT lower(title) AS title, count(*) AS n FROM (SELECT DISTINCT paper_id, title FROM researchmetadatascopus WHERE title IS NOT NULL) GROUP BY ALL)
+SELECT row_key, CAST(sum(n) AS BIGINT) AS n_fits FROM s, p WHERE len(w) = 0 OR len(list_filter(w, lambda x: contains(p.title, x))) / len(w) >= 0.6 GROUP BY ALL""",
+)
+def _(r: Roles):
+    return search.fit_counts(r.t("scholar_papers"), r.t("researchmetadatascopus"))

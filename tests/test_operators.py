@@ -265,3 +265,20 @@ def test_stream_counts_each_event_once(spark, tmp_path):
 
 def test_checkpoint_folder_is_the_sessions(spark):
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
+
+
+def test_fit_counts_tests_every_title(spark):
+    r = random.Random(3)
+    pool = ["soil", "soils", "layer", "layers", "calibrated", "uncalibrated", "retro", "retrofitting", "wave", "(wave)", "of", "the", "arid"]
+    asked = [(f"s{i}", " ".join(r.choices(pool, k=r.randint(0, 7)))) for i in range(40)] + [("t", "Calibrated retrofitting of soil lyaers"), ("t", "Calibrated retrofitting of soil lyaers"), ("n", None), ("x", "zzzz")]
+    given = [(f"p{i}", " ".join(r.choices(pool, k=r.randint(0, 7))).title()) for i in range(60)] + [("q", "Calibrated Retrofitting of Soil Layers [Article]"), ("q", "Calibrated Retrofitting of Soil Layers [Article]"), ("m", None)]
+    want = {}
+    for key, a in asked:
+        for _, b in {g for g in given if g[1] is not None}:
+            long = [w for w in (a or "").lower().split() if len(w) > 3]
+            if a is not None and (not long or sum(w in b.lower() for w in long) / len(long) >= 0.6):
+                want[key] = want.get(key, 0) + 1
+    got = search.fit_counts(spark.createDataFrame(asked, "row_key string, title string"), spark.createDataFrame(given, "paper_id string, title string"))
+    assert {x["row_key"]: x["n_fits"] for x in got.collect()} == want
+    assert want["t"] >= 2 and "x" not in want
+    assert search.fit_counts(got.select("row_key", F.lit("a").alias("title")), spark.createDataFrame([], "paper_id string, title string")).count() == 0
