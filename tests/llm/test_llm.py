@@ -183,6 +183,17 @@ def test_match_works(spark):
     assert linkage.match_works(a.limit(0), b).count() == 0
 
 
+def test_keys_do_not_depend_on_the_size():
+    work, record = ["alpha", "bravo", "carol", "delta", "early"], ["alpha", "bravo", "carol", "fancy", "giant"]
+    keys = []
+    for n in (1000, 10_000_000):
+        counts = {w: n // 20 for w in {*work, *record}}
+        a, b = (set(linkage.rare_keys([t], [""], linkage.Vocabulary(counts, n), top).to_pylist()[0]) for t, top in ((work, linkage.RARE_WORK), (record, linkage.RARE_RECORD)))
+        assert len(a & b) == 1
+        keys.append((a, b))
+    assert keys[0] == keys[1]
+
+
 # 7: top n
 
 
