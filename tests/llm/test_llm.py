@@ -194,6 +194,13 @@ def test_keys_do_not_depend_on_the_size():
     assert keys[0] == keys[1]
 
 
+def test_all_words_are_counted(spark):
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
+    titles = [(" ".join(word(i) for i in range(k, k + 100)),) for k in range(0, 25_000, 100)] * 2 + [("solitary",)]
+    counts = linkage.vocabulary_of(spark.createDataFrame(titles, "title string")).counts
+    assert counts == {word(i): 2 for i in range(25_000)}
+
+
 # 7: top n
 
 
