@@ -39,11 +39,34 @@ def in_theme(points: DataFrame, theme: str, query: str) -> DataFrame:
     return points.filter((F.col("theme") == theme) & reduce(lambda a, b: a | b, [holds(F.col(c), query) for c in FIELDS]))
 
 
-def refine(points: DataFrame, base: DataFrame, query: str, unit_points: DataFrame) -> DataFrame:
-    """Positions of a base set that match the query by text or by unit; each once."""
-    text = points.filter(all_tokens_in_any(query, [F.col(c) for c in FIELDS])).select("i")
-    units = unit_points.filter(holds(F.col("unit_name"), query)).select("i")
-    return text.union(units).distinct().join(base.select("i").distinct(), "i", "left_semi")
+def refine(points: DataFrame, base: DataFrame, query: str, unit_points: DataFrame, people_points: DataFrame | None = None, kind: str = "", tags: DataFrame | None = None) -> DataFrame:
+    """Positions of a base set that match the query; each once. people_points: i, faculty_id, name; tags: i, department.
+
+    `kind` is department, faculty, or found by an exact name of a unit, else of a
+    person; without it text, units and people count together. Of a department,
+    papers tagged to another one are dropped; of a person not named exactly, the three best matches count.
+    """
+    q = query.strip().lower()
+    exact = lambda df, c: df.filter(F.lower(F.trim(c)) == q)
+    units = exact(unit_points, "unit_name")
+    people = people_points if people_points is not None else unit_points.limit(0).select("i", F.lit("").alias("faculty_id"), F.lit("").alias("name"))
+    named = exact(people, "name")
+    kind = kind or ("department" if not units.isEmpty() else "faculty" if not named.isEmpty() else "")
+    parts = [t for t in q.split() if len(t) >= 2]
+    by_name = people.filter(holds(F.col("name"), q) | (all_tokens_in_any(" ".join(parts), [F.col("name")]) if len(parts) > 1 else F.lit(False)))
+    by_unit = unit_points.filter(holds(F.col("unit_name"), q))
+    if kind == "department":
+        found = (by_unit if units.isEmpty() else units).select("i")
+        if tags is not None:
+            tag = F.lower(F.trim("department"))
+            other = tags.filter((tag != "") & ~F.contains(tag, F.lit(q)) & ~F.contains(F.lit(q), tag))
+            found = found.join(other.select("i"), "i", "left_anti")
+    elif kind == "faculty":
+        best = by_name.groupBy("faculty_id", "name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.startswith(F.lower(F.trim("name")), F.lit(q)).desc(), F.col("n").desc(), "name", "faculty_id").limit(3)
+        found = (by_name.join(best.select("faculty_id"), "faculty_id", "left_semi") if named.isEmpty() else named).select("i")
+    else:
+        found = points.filter(all_tokens_in_any(query, [F.col(c) for c in FIELDS])).select("i").union(by_unit.select("i")).union(by_name.select("i"))
+    return found.distinct().join(base.select("i").distinct(), "i", "left_semi")
 
 
 def phrases(titles: DataFrame, query: str, limit: int) -> DataFrame:

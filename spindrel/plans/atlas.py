@@ -146,6 +146,13 @@ def _(r: Roles):
     return search.refine(r.points, base, "comp", units)
 
 
+@query("refine_by_person", sql(PEOPLE, WORKS, OWNED, _POINT, _UNIT_POINT, body=f"SELECT i FROM (SELECT i FROM pt WHERE {_HOLDS('ru')} UNION SELECT i FROM up WHERE contains(lower(unit_name), 'ru') UNION SELECT i FROM own JOIN fac USING (faculty_id) JOIN place USING (paper_id) WHERE contains(lower(full_name), 'ru')) WHERE i IN (SELECT i FROM up WHERE unit_name = 'Department of Polymer Dynamics')"))
+def _(r: Roles):
+    units = r.unit_points
+    people_points = r.owned.join(r.people.select("faculty_id", "name"), "faculty_id").join(r.places, "paper_id").select("i", "faculty_id", "name")
+    return search.refine(r.points, units.filter("unit_name = 'Department of Polymer Dynamics'"), "ru", units, people_points)
+
+
 _PHRASES = """w AS (SELECT list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda t: t <> '') AS w FROM pap),
 s AS (SELECT w[k] AS a, coalesce(w[k + 1], '') AS b, coalesce(w[k + 2], '') AS c FROM (SELECT w, unnest(range(1, len(w) + 1)) AS k FROM w) WHERE starts_with(w[k], 'mem') AND length(w[k]) >= 2),
 g AS (SELECT *, length(b) >= 2 AND b NOT IN ({0}) AS gb, length(c) >= 2 AND c NOT IN ({0}) AS gc FROM s)""".format(", ".join(f"'{x}'" for x in text.PHRASE_STOPWORDS))

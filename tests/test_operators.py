@@ -282,3 +282,14 @@ def test_fit_counts_tests_every_title(spark):
     assert {x["row_key"]: x["n_fits"] for x in got.collect()} == want
     assert want["t"] >= 2 and "x" not in want
     assert search.fit_counts(got.select("row_key", F.lit("a").alias("title")), spark.createDataFrame([], "paper_id string, title string")).count() == 0
+
+
+def test_refine_by_text_unit_or_person(spark):
+    points = spark.createDataFrame([(i, "Soil" if i == 4 else "Ada Bo effects" if i == 5 else "x") for i in range(8)], "i bigint, title string").withColumns({c: F.lit("") for c in ("topic", "subdomain", "domain", "theme")})
+    units = spark.createDataFrame([(0, "Polymer"), (1, "Polymer"), (2, "Polymer Growth"), (6, "Polymer")], "i bigint, unit_name string")
+    people = spark.createDataFrame([(3, "f1", "Ada Bo"), (7, "f1", "Ada Bo"), (2, "f2", "Soila Ru")], "i bigint, faculty_id string, name string")
+    tags = spark.createDataFrame([(0, " "), (1, "Crystal"), (6, "The Polymer unit")], "i bigint, department string")
+    base = points.filter("i < 7")
+    got = lambda q, **more: {r["i"] for r in search.refine(points, base, q, units, people, **more).collect()}
+    assert got("ada bo") == {3} and got("ada") == {3, 5} and got("soil") == {2, 4} and got("soil", kind="faculty") == {2}
+    assert got("Polymer", tags=tags) == {0, 6} and got("polymer") == {0, 1, 6}
