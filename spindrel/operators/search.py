@@ -34,6 +34,14 @@ def tokens_of(query: str) -> list[str]:
     return [t for t in re.split(r"[^\w-]+", query.lower()) if len(t) >= 2]
 
 
+def paper_hits(papers: DataFrame, points: DataFrame, query: str, most: int = 500) -> DataFrame:
+    """Papers (paper_id, title, abstract) with a word of the query, the `most` best by occurrences in title and abstract, 10 to 1; of these the plotted ones by relevance: i, paper_id, title, score."""
+    asked = F.array(*[F.lit(t) for t in tokens_of(query)]).cast("array<string>")
+    count = lambda c: F.size(F.filter(tokens(F.coalesce(c, F.lit(""))), lambda t: F.array_contains(asked, t)))
+    best = papers.select("paper_id", "title", (10 * count("title") + count("abstract")).alias("score")).filter("score > 0").orderBy(F.col("score").desc(), "paper_id").limit(most)
+    return best.join(points.select("i", "paper_id"), "paper_id").select("i", "paper_id", "title", "score").orderBy(F.col("score").desc(), "paper_id")
+
+
 def in_theme(points: DataFrame, theme: str, query: str) -> DataFrame:
     """Points of a theme with the whole query in some field."""
     return points.filter((F.col("theme") == theme) & reduce(lambda a, b: a | b, [holds(F.col(c), query) for c in FIELDS]))

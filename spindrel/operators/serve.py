@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import holds
-from .search import FIELDS, phrases, related
+from .search import FIELDS, paper_hits, phrases, related
 
 
 def ranked_matches(rows: DataFrame, column: str, query: str, weight: str, limit: int) -> DataFrame:
@@ -38,8 +38,8 @@ def base_set(points: DataFrame, unit_points: DataFrame, people_points: DataFrame
     return points.filter(reduce(lambda a, b: a & b, [reduce(lambda x, y: x | y, [holds(F.col(c), t) for c in FIELDS]) for t in q.split()], F.lit(True))).select("i").distinct()
 
 
-def suggestions(points: DataFrame, terms: DataFrame, units: DataFrame, people: DataFrame, query: str, limit: int = 8) -> DataFrame:
-    """What to offer for a query, in one table: kind (keyword, theme, term, unit, person), text, n."""
+def suggestions(points: DataFrame, terms: DataFrame, units: DataFrame, people: DataFrame, query: str, limit: int = 8, papers: DataFrame | None = None) -> DataFrame:
+    """What to offer for a query, in one table: kind (keyword, theme, term, unit, person, paper), text, n. papers: paper_id, title, abstract."""
     size = max(1, min(20, limit))
     own = lambda df, kind, c, n: df.select(F.lit(kind).alias("kind"), F.col(c).alias("text"), F.col(n).cast("bigint").alias("n"))
     parts = [
@@ -49,6 +49,8 @@ def suggestions(points: DataFrame, terms: DataFrame, units: DataFrame, people: D
         own(ranked_matches(units, "unit_name", query, "n_faculty", size), "unit", "unit_name", "n_faculty"),
         own(ranked_matches(people, "name", query, "h_index", size), "person", "name", "h_index"),
     ]
+    if papers is not None:
+        parts.append(own(paper_hits(papers, points, query).limit(size), "paper", "title", "score"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

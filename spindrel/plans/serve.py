@@ -85,4 +85,9 @@ def _(r: Roles):
 @query("suggestions")
 def _(r: Roles):
     terms = graph.explore_terms(graph.term_cells(r.owned, r.labelled_works, r.homes))
-    return serve.suggestions(r.points, terms, directory.unit_summary(r.people, r.departments), r.people, "comp")
+    return serve.suggestions(r.points, terms, directory.unit_summary(r.people, r.departments), r.people, "comp", papers=r.works.select("paper_id", "title", "abstract"))
+
+
+@query("paper_text_search")
+def _(r: Roles):
+    return search.paper_hits(r.works.select("paper_id", "title", "abstract"), r.places, "membrane soil")

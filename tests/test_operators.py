@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrel.functions import numbers, text
-from spindrel.operators import atlas, engagement, graph, identity, maintain, orphans, research, search, skew
+from spindrel.operators import atlas, engagement, graph, identity, maintain, orphans, research, search, serve, skew
 from spindrel.session import checkpoint_dir
 from spindrel.sources import files, publish
 from spindrel.streaming import engagement as stream
@@ -293,3 +293,12 @@ def test_refine_by_text_unit_or_person(spark):
     got = lambda q, **more: {r["i"] for r in search.refine(points, base, q, units, people, **more).collect()}
     assert got("ada bo") == {3} and got("ada") == {3, 5} and got("soil") == {2, 4} and got("soil", kind="faculty") == {2}
     assert got("Polymer", tags=tags) == {0, 6} and got("polymer") == {0, 1, 6}
+
+
+def test_suggestions_offer_papers_by_abstract(spark):
+    papers = spark.createDataFrame([("a", "Air", "soil and soil"), ("b", "Soil", None), ("c", "Water", "soil"), ("d", None, "air")], "paper_id string, title string, abstract string")
+    points = spark.createDataFrame([(0, "a", "Air", "T"), (1, "b", "Soil", "T"), (2, "d", "", "T")], "i bigint, paper_id string, title string, theme string")
+    assert [(r["paper_id"], r["score"]) for r in search.paper_hits(papers, points, "Soil").collect()] == [("b", 10), ("a", 2)]
+    none = spark.createDataFrame([], "term string, n_papers bigint, unit_name string, n_faculty bigint, name string, h_index int")
+    got = serve.suggestions(points, none, none, none, "soil", papers=papers).filter("kind = 'paper'").collect()
+    assert [(r["text"], r["n"]) for r in got] == [("Soil", 10), ("Air", 2)]
