@@ -115,6 +115,14 @@ def test_same_person(spark):
     assert names.same_person(df.limit(0), faculty.limit(0), deps).count() == 0
 
 
+def test_crowded_units_are_compared_whole(spark):
+    rows = [(f"x{i:03d}", pii_sample._word(random.Random(i), 3, 4).lower() + chr(97 + i % 26) * 3, "gruvava", "u") for i in range(210)]
+    rows += [("y1", "hokrerman", "gruvava", "u"), ("y2", "hokrerman p", "gruvava", "u")]
+    people = spark.createDataFrame(rows, "faculty_id string, first string, last string, unit string")
+    links = spark.createDataFrame([], "author_id string, faculty_id string")
+    assert ("y1", "y2") in {tuple(r) for r in names.twice_entered(people, links).collect()}
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(f"{r.randrange(60):02d}", f"{r.randrange(60):02d}") for _ in range(45)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40)]
