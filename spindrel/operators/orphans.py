@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .skew import salted_lookup
 
 #: An id is 24 hexadecimal digits, whatever is written around it.
@@ -73,16 +74,18 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     A row without time, and a parent record without birth, count as not living.
     Repeated rows count once; parents repeated with other times are all tried.
     """
-    keys = refs.groupBy("ref_field", "key").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count_if(F.col("at").isNull()).alias("timeless"))
+    keys = refs.groupBy("ref_field", "key").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count_if(F.col("at").isNull()).alias("timeless"), F.count(F.lit(1)).alias("_n"))
     lives = parents.groupBy("ref_field", "key").agg(F.collect_set(F.struct("born", F.coalesce("gone", F.lit("9999-12-31").cast("timestamp_ntz")).alias("gone"))).alias("lives"))
     covers = lambda a, b: F.exists("lives", lambda x: (x["born"] <= a) & (x["gone"] > b))
     doubtful = (
         keys.join(lives, ["ref_field", "key"], "left")
         .filter(F.col("lives").isNull() | (F.col("timeless") > 0) | ~F.coalesce(covers(F.col("first"), F.col("last")), F.lit(False)))
-        .select("ref_field", "key", "lives")
+        .select("ref_field", "key", "lives", "_n")
     )
+    # a written table of the doubtful keys: they and their numbers are used twice
+    doubtful = cut(doubtful)
     return (
-        salted_lookup(refs, doubtful, ["ref_field", "key"], "paper_id")
+        salted_lookup(refs, doubtful.drop("_n"), ["ref_field", "key"], "paper_id", counts=doubtful.select("ref_field", "key", "_n"))
         .filter(F.col("lives").isNull() | ~F.coalesce(covers(F.col("at"), F.col("at")), F.lit(False)))
         .select("ref_field", "paper_id", "ref_value", "at")
         .distinct()

@@ -5,34 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many keys are treated as hot, which bounds the broadcast.
-HOT_KEYS = 200
-#: Pieces a hot key is cut into.
-SALTS = 64
+#: A key is hot above one row in so many (and above the floor), which bounds the number of hot keys and so the broadcast.
+HOT_SHARE = 10_000
+#: Rows of a hot key a piece holds about.
+FLOOR = 20_000
 
 
-def hot_keys(rows: DataFrame, keys: list[str], floor: int = 20_000) -> DataFrame:
-    """The keys with most rows, more than `floor` each and HOT_KEYS at most.
+def counts_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per key: keys and _n, combined on the map side."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
-    Counts are combined on the map side, so a hot key costs one row per task. A key
-    beyond these has at most one row in HOT_KEYS, which one task bears.
+
+def hot_keys(counts: DataFrame, keys: list[str], floor: int = FLOOR) -> DataFrame:
+    """The hot keys of `counts` (keys, _n) with the number of pieces each is cut into, in proportion to its rows.
+
+    A key counts as hot above `floor` rows and above one row in HOT_SHARE of all, so
+    there are fewer than HOT_SHARE of them at any size; what is below that share is
+    left to the adaptive splitting of skewed partitions.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") > floor).orderBy(F.col("_n").desc(), *keys).limit(HOT_KEYS).select(*keys)
+    total = counts.agg(F.sum("_n").alias("_all"))
+    line = F.greatest(F.lit(floor), F.col("_all") / HOT_SHARE)
+    return counts.crossJoin(F.broadcast(total)).filter(F.col("_n") > line).select(*keys, F.ceil(F.col("_n") / line).cast("int").alias("_pieces"))
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, how: str = "inner", floor: int = 20_000) -> DataFrame:
+def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, how: str = "inner", floor: int = FLOOR, counts: DataFrame | None = None) -> DataFrame:
     """`rows` joined with `lookup`, which has at most one row per key.
 
-    Rows of hot keys are spread over SALTS pieces by a hash of `spread`; only the
-    lookup rows of hot keys are repeated. Null keys never match. Empty inputs give
-    an empty result (for `how="left"`, the rows with nulls).
+    Rows of hot keys are spread over pieces by a hash of `spread`; only the lookup
+    rows of hot keys are repeated. `counts` (keys, _n) spares counting where the
+    rows per key are known. Null keys never match. Empty inputs give an empty
+    result (for `how="left"`, the rows with nulls).
     """
-    hot = F.broadcast(hot_keys(rows, keys, floor).withColumn("_hot", F.lit(True)))
-    left = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))).drop("_hot")
-    right = (
-        lookup.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
+    hot = F.broadcast(hot_keys(counts if counts is not None else counts_of(rows, keys), keys, floor))
+    left = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_pieces").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("_pieces")).cast("int"))).drop("_pieces")
+    right = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

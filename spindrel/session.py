@@ -22,18 +22,22 @@ def tune(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in `spark.checkpoint.dir`; only where neither that nor a
-    context folder is set (tests, a single machine) a temporary one is made.
+    A cluster names it in `spark.checkpoint.dir`, or has set the context's own. A
+    temporary folder is made on a single machine only; elsewhere a missing setting
+    is an error, since executors could not read each other's files.
     """
     context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    # files of frames nobody refers to any more are removed
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     current = context.getCheckpointDir()
-    if shared:
-        if current is None:
-            context.setCheckpointDir(shared)
-        return context.getCheckpointDir()
-    if current is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spindrel-checkpoint-"))
+    if current is not None:
+        return current
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spindrel-checkpoint-")
+    context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 
 

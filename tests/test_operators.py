@@ -4,6 +4,8 @@ import datetime as dt
 import random
 import struct
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,8 +165,14 @@ def test_octree_equals_brute_force(spark):
     assert atlas.octree(df.limit(0)).count() == 0
 
 
+#: golden rows of the layout
+CLOUD = [[0.35304, -0.33227, 0.6211], [-0.08364, -0.15696, -0.15624], [0.03207, 0.23667, 0.47919]]
+CENTRES = {"a": [1.60562, 6.5325, -1.47088], "b": [-3.21124, 0.0, 2.94176], "c": [1.60562, -6.5325, -1.47088]}
+
+
 def test_layout_is_seeded_by_id():
-    assert atlas.cloud_offset("abc", 1.0) == atlas.cloud_offset("abc", 1.0) != atlas.cloud_offset("abd", 1.0)
+    assert atlas.cloud(pd.Series(["abc", "p1", ""]), np.array([1.0, 0.28, 2.0])).round(5).tolist() == CLOUD
+    assert {k: [round(x, 5) for x in v] for k, v in atlas.theme_centres(atlas.blob_radii({"a": 100, "b": 50, "c": 1})).items()} == CENTRES
     centres = atlas.theme_centres({t: 1.2 for t in "abcdef"})
     names = sorted(centres)
     for a in range(3):
