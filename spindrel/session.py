@@ -41,7 +41,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder; survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, rounds: bool = False) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder; survives the loss of executors.
+
+    A checkpointed frame remembers its size as estimated, the product of what was
+    joined. With `rounds`, for frames that go through a loop, that is forgotten,
+    since it would grow to numbers of millions of digits.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    if not rounds:
+        return done
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
