@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.orphans import reference_id
+from ..operators.orphans import reference_id, reference_key
 from ..session import tune
 from ..sources.tables import table
 from . import fmindex, linkage, merkle, names, packing, pii, residue, setjoin, topn
@@ -93,9 +93,10 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = named.select(
         "paper_id", "title", F.col("publication_year").alias("year"), F.transform("authors", lambda a: a["author_name"]).alias("people"),
         F.array_compact(F.concat(F.coalesce("classification.topics", F.array()), F.array("domain_id_name", "thematic_area_id_name"))).alias("labels"),
+        F.transform("authors", lambda a: a["author_id"]).alias("author_ids"), F.array_distinct(F.transform("iitd_authors", lambda a: reference_key(a["department_ref"]))).alias("units"),
     )
-    sheets = t("build_kg").select(F.col("row_key").alias("record"), F.col("Title").alias("title"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("array<string>").alias("people"), F.array("Topic", "Domain", "Broad_Theme").alias("labels"))
-    profiles = t("scholar_papers").select(F.col("row_key").alias("record"), "title", "year", F.col("authors").alias("people"), F.lit(None).cast("array<string>").alias("labels"))
+    sheets = t("build_kg").select(F.col("row_key").alias("record"), F.col("Title").alias("title"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("array<string>").alias("people"), F.array("Topic", "Domain", "Broad_Theme").alias("labels"), F.array("IITD_Department").alias("units"))
+    profiles = t("scholar_papers").select(F.col("row_key").alias("record"), "title", "year", F.col("authors").alias("people"), F.lit(None).cast("array<string>").alias("labels"), F.lit(None).cast("array<string>").alias("units"))
     return linkage.match_works(works, sheets.unionByName(profiles)).select("paper_id", F.col("record").alias("row_key"), "confidence")
 
 
