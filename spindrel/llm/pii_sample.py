@@ -1,7 +1,9 @@
 """A bounded sample of labelled messages to fit and calibrate the span classifier on.
 
-All persons, places and numbers are invented. Each message is a chain of
-sentences; those with personal items know where the items are.
+Messages are chains of sentences; those with personal items know where the items
+are. Sentence frames come in two sets without a common frame: the classifier is
+fitted on one and calibrated on the other, so that the thresholds are those of
+wordings it has not seen. All persons, places and numbers are made up at random.
 """
 
 from __future__ import annotations
@@ -10,31 +12,48 @@ import random
 
 TYPES = ("name", "email", "phone", "id_number", "address")
 
-_HEAD = "b br ch d dr f g gr h j k kr l m n p pr r s sh t tr v y z bl cl fr gl st th w".split()
-_VOWEL = "a e i o u".split()
-_TAIL = ["", "", "n", "r", "sh", "k", "l", "m", "t", "p", "s", "d"]
-
-_ITEMS = {
-    "phone": ["call {} after six", "my number is {}", "you can text {}", "tel {}", "Phone: {}", "office line {} is dead", "reach us on {}", "fax {}", "mobile {} please", "ring {} any time", "phone number {}", "my cell: {}"],
-    "id_number": ["identity card {}", "tax number {} is on file", "enrolled under {}", "passport {} was used to sign up", "my national id is {}", "ID no. {}", "licence {} expired", "social security {}", "id card no {}", "my tax id: {}", "registered with passport {}"],
-    "address": ["Address: {}", "I live at {}", "my parents are at {}", "send the letter to {}", "post it to {}", "ship it to {}", "my office is at {}", "we moved to {}", "home address {}"],
-    "email": ["e-mail {}", "Reach me: {}", "mail {} with the fix", "write to me at {}", "contact <{}>", "the old address {} bounces", "send it to {}", "my mail is {}", "email: {}"],
-    "name": ["My name is {}", "this is {} writing", "regards, {}", "Sincerely\n{}", "cc {}", "co-authored with {} in the same group", "supervised by {t} {} since then", "Please ask {t} {} about it", "the page of {t} {} lists the wrong unit", "thanks, {}", "I am {}", "signed {}", "Best wishes\n{}", "contact {t} {} first", "talk by {t} {} was moved", "yours, {}"],
+# ---- frames: {} is the item, {t} a title, {w} a word, {d} a number, {X} a coined capitalised word ----
+FIT = {
+    "name": [
+        "hello, my name is {} and I teach {w}", "this is {} from the {w} office", "best regards, {}", "kind regards\n{}", "many thanks, {}", "sincerely yours, {}", "sincerely, {}", "yours truly\n{}", "best wishes, {}", "cheers, {}", "warm wishes\n{}",
+        "I am {}, a second year student", "I'm {} and I cannot log in", "ask {t} {} for the key", "we asked {t} {} about the {w} and got no answer", "the lecture of {t} {} was cancelled", "the talk by {t} {} starts late", "talk to {t} {} first", "meet {t} {} on {day}", "cc: {}", "cc {} and the {w} list", "please copy {} on this",
+        "written together with {}", "a paper with {} is missing", "co-written with {} in {y}", "the homepage of {} is empty", "the entry of {t} {} shows the wrong {w}", "signed: {}", "signed by {}", "dear {},", "hi {}, the {w} is gone", "the thesis was guided by {t} {} until {y}", "my advisor is {t} {}", "advised by {t} {} for years", "please contact {t} {} if in doubt",
+        "{} here", "{} and {t} {} both complained", "{t} {} and {} agreed", "as {} pointed out, the {w} is wrong", "{} wrote this last {month}", "according to {}, it is fixed", "reported by {}", "my colleague {} found it", "you may tell {} that it works", "greetings from {}", "thank you, {}", "yours, {}\n", "my name: {}", "name: {}", "{t} {} lists the wrong {w} on the page",
+        "I work with {} every {day}", "the student {} sent me the form", "forwarded for {}", "{} is listed twice", "why is {} missing from the {w}?", "{} has left the institute", "this is {} speaking", "this is {} again",
+    ],
+    "email": ["my e-mail is {}", "e-mail: {}", "mail: {}", "write to {} please", "you can reach me at {}", "drop a line to {}", "reply to {}", "the address {} does not work", "messages to {} come back", "send the {w} to {}", "contact: {}", "({})", "<{}>", "cc {}", "my account is {}", "I used {} to sign up", "email me on {}", "use {} instead of the old one", "{} is my new address", "mail to {} bounced"],
+    "phone": ["call me on {}", "my phone is {}", "phone {}", "tel. {}", "telephone: {}", "mobile: {}", "my mobile number is {}", "reach me at {}", "the desk line {} rings out", "fax: {}", "ring {} before noon", "text {} any time", "dial {} and ask for the {w} desk", "WhatsApp {}", "cell {}", "{} is my direct line", "the number {} is not in service", "please phone {} tomorrow", "our hotline is {}", "contact number {}", "you may call {} after five", "office {}"],
+    "id_number": ["my passport number is {}", "passport {}", "passport no. {}", "national id {}", "identity number {}", "id card: {}", "the tax id is {}", "tax number: {}", "SSN {}", "social security number {}", "licence no. {}", "my driving licence {} has run out", "the card {} was issued in {y}", "PAN {}", "I signed up with identity card {}", "enrolment under id {}", "the form wants my id number, it is {}", "voter id {}", "insurance number {}", "registered as {} at the tax office", "residence permit {}"],
+    "address": ["I stay at {}", "my address is {}", "address: {}", "please post it to {}", "deliver to {}", "my flat is at {}", "we live at {}", "send the parcel to {}", "the new office is at {}", "our lab moved to {}", "home: {}", "mail the card to {}", "she lives at {}", "the letter went to {}", "find us at {}", "come to {}", "my residence is {}", "billing address {}", "shipped to {}", "my family lives at {}"],
+}
+HELD = {
+    "name": ["the undersigned is {}", "my supervisor was {t} {} back then", "{} told me so", "yours faithfully, {}", "kindly forward this to {t} {}", "the profile of {t} {} has no photo", "introduced by {}", "with thanks\n{}", "regards {}", "a joint work with {} from {y}", "my friend {} saw the same", "copy to {}", "you know me, I am {}", "ask for {t} {}", "{t} {} never answered", "this comes from {}", "hello {},", "call for {} at the desk"],
+    "email": ["best reached under {}", "please answer to {}", "my contact is {}", "I wrote from {}", "forward it to {}", "the mailbox {} is full"],
+    "phone": ["you get me under {}", "my landline is {}", "try {} in the morning", "a call to {} would help", "phone no. {}", "mobile {}"],
+    "id_number": ["identity document {}", "id: {}", "travel document {}", "my social insurance id {}", "the permit {} is valid", "tax file {}"],
+    "address": ["visit us at {}", "the package goes to {}", "I moved to {}", "post address: {}", "reachable by post at {}", "located at {}"],
 }
-_TITLES = ["Dr", "Dr.", "Prof.", "Prof", "Mr.", "Ms.", "Mrs."]
-_PLAIN = [
-    "h-index {d} should be {d}", "The atlas view freezes when I zoom past level {d}", "Please add a dark theme", "Room {d} in the {X} hall has no signal for the kiosk",
-    "Sorting by year puts {y} before {y}", "Version {d}.{d}.{d} broke the export", "The {X} Group page says {d} members, I count {d}", "Citation counts look old since {date}",
-    "It worked on the {X} campus network", "DOI 10.{h}/{X}.{n6} opens a blank page", "Ticket #{n6} was closed too early", "The tour of {X} Hall was good", "Paper 2-s2.0-85{n6} shows twice in the list",
-    "ISSN {i4}-{i4} is missing", "Object {hex} cannot be found", "Follow @{x}_lab for the schedule", "The filter for {w} {w} hides {d} results", "Search for '{w} {w} {w}' returns {w} pages",
-    "The {X} node overlaps the {w} cluster", "I waited {d} minutes on {date} for order {n6}", "Build {n6} of the {X} app is slow", "The map of {X} Street is out of date", "Page {d} of the {X} report lists {y} twice",
-    "Grant {X}-{n6} ended in {y}", "see section {d}.{d} of the {X} handbook", "The {X} workshop starts at {d}:30", "room booking {n6} failed", "the {w} chart shows {d} percent of {w}", "The {X} and {X} datasets disagree", "CO₂ sorbents and H₂ burners share label {d}", "ISBN 978-{d}-{n6}-{d}-1 has no cover",
+PLAIN = [
+    "the page loads slowly since {day}", "The {X} library closes at {d}", "please bring back the old {w} view", "the {w} plot has no legend", "export to {w} stops at row {d}", "in {y} we had {d} papers, now {d}", "I counted {d} of {d} rows", "the count fell from {d} to {d}", "between {y} and {y} nothing is shown", "release {d}.{d} is worse than {d}.{d}",
+    "The {X} building is not on the map", "the {X} lab has {d} members", "a group called {X} has no page", "the {X} team won the {X} award", "at the {X} campus the wifi fails", "I like the {X} model", "the {X} dataset is broken", "the {X} portal asks twice", "the {X} node is too small", "the visit to {X} Hall was nice", "the bus to {X} leaves at {d}:{d}", "on {date} the site was down", "since {date} the numbers are stale", "The {X} and the {X} labels overlap", "{X} is spelled wrong in the {w} menu", "the {X} server gave error {d}",
+    "10.{h}/{X}.{n6} does not resolve", "the doi 10.{h}/{x}.{n6} is wrong", "order {n6} is late", "ticket {n6} is still open", "issue #{n6} came back", "see case #{n6}", "isbn 978-{d}-{n6}-{d}-{d1} is not known", "ISSN {i4}-{i4} has no title", "the record 2-s2.0-{n8} is a copy", "eid 2-s2.0-{n8} is listed twice", "node {hex} is gone", "the object {hex} is empty", "invoice {X}-{n6} was paid", "grant no. {X}/{y}/{n6} ended", "room {d} in {X} House is cold", "Room {d} of the {X} block has no projector",
+    "the {w} chart adds up to {d} percent", "sort by {w} is broken", "filter {w} and {w} together fails", "search '{w} {w}' finds nothing", "a search for {w} {w} finds {d} entries", "The search box ignores {w}", "@{x}_team has no feed", "see @{x} for news", "follow @{x}_{w} instead", "page {d} of {d} is blank", "section {d}.{d} is out of date", "the {X} report of {y} is missing", "figure {d} in the {X} guide is wrong", "version {d}.{d}.{d} crashes", "It takes {d} seconds to open the {w} tab",
+    "{day} is a holiday", "On {day} and {day} it works", "the {month} issue is late", "{month} {y} shows zero", "Great site", "It would be good to have a {w} mode", "Zoom level {d} is blurry", "the index of {d} should read {d}", "Why are there {d} entries for {w}?", "The {w} of {w} is unclear", "The {X} {w} workshop begins at {d}", "CO2 and H2 share a colour", "Is there an API for {w}?", "The map shows {X} Road twice", "{X} Street is closed", "University of {X} is missing", "the {X} Institute is listed under {w}", "temperature of {d} degrees in the {X} room", "I waited {d} minutes", "build {n6} of {X} fails",
+    "The link to {X} is dead", "{X} University changed its name", "the phone app is slow", "the address bar jumps", "no email was sent", "name sorting is off", "numbers like {n6} look odd", "scores {i4} and {i4} are equal", "the id column is hidden", "please call it {w} instead", "thanks for the {w} view", "the contact page is empty", "my page lists {d} items", "with {d} tabs open it stops", "by {y} it was gone", "Sorted by {w}, {y} comes before {y}", "Dear team, the {w} is gone", "the {w} network drops near {X} Hall", "it ran on the {X} cluster",
 ]
-_WORDS = "thermal layers network grid old dense filter arrays storage cloud soil reactive passive stable tuned pages links graph sensor optical river index colour menu search button upload table axis label export".split()
+_WORDS = "thermal layers network grid dense filter arrays storage cloud soil reactive passive stable tuned pages links graph sensor optical river index colour menu search button upload table axis label export citation author title profile theme domain viewer cluster timeline dark old new wrong small publication directory degree volume journal member group".split()
+# ---- common given and family names of several regions ----
+GIVEN = "Anna Maria John Peter Wei Li Rahul Priya Anjali Amit Sunita Deepak Fatima Ahmed Omar Layla Carlos Sofia Diego Lucia Pierre Claire Hans Greta Ivan Olga Yuki Kenji Min Jisoo Kwame Amara Chidi Ngozi Liam Emma Noah Olivia James Grace Vikram Meera Arjun Kavita Sanjay Neha Thomas Julia Marco Elena Erik Ingrid Paulo Ana Tariq Aisha David Ruth".split()
+FAMILY = "Smith Jones Brown Taylor Wilson Sharma Verma Gupta Singh Kumar Iyer Nair Rao Patel Mehta Chen Wang Zhang Liu Kim Park Tanaka Sato Garcia Lopez Fernandez Silva Santos Rossi Bianchi Muller Schmidt Weber Dubois Moreau Ivanov Petrov Okafor Mensah Diallo Khan Hussain Rahman Haddad Cohen Levy Novak Kowalski Nielsen Larsen O'Neill O'Brien McDonald Banerjee Chatterjee Reddy Pillai Joshi Desai Bose".split()
+_HEAD = "b c d f g h j k l m n p r s t v w y z br dr gr kr pr tr sh ch th st bl cl fr".split()
+_TITLES = ["Dr", "Dr.", "Prof.", "Prof", "Mr.", "Ms.", "Mrs.", "Professor", "Miss", "dr.", "prof"]
+_DAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
+_MONTHS = "January February March April June July August September October November December".split()
 
 
-def _word(r: random.Random, low: int = 2, high: int = 3) -> str:
-    return "".join(r.choice(_HEAD) + r.choice(_VOWEL) + (r.choice(_TAIL) if k else "") for k in range(r.randint(low, high)))
+def word(r: random.Random, low: int = 2, high: int = 3) -> str:
+    """A coined word of some syllables."""
+    return "".join(r.choice(_HEAD) + r.choice("aeiou") + (r.choice(["", "", *"nrklmtpsd"]) if k else "") for k in range(r.randint(low, high)))
 
 
 def _accent(r: random.Random, w: str) -> str:
@@ -43,113 +62,105 @@ def _accent(r: random.Random, w: str) -> str:
 
 
 def _name(r: random.Random) -> str:
-    first, last = _word(r).capitalize(), _word(r, 2, 4).capitalize()
-    if r.random() < 0.05:
+    first = r.choice(GIVEN) if r.random() < 0.3 else word(r).capitalize()
+    last = r.choice(FAMILY) if r.random() < 0.3 else word(r, 2, 4).capitalize()
+    if r.random() < 0.06:
         last = _accent(r, last)
     if r.random() < 0.05:
-        last = f"{last[:3]}-{_word(r, 1, 2).capitalize()}"
-    k = r.random()
-    i = first[0]
-    if k < 0.3:
-        out = f"{first} {last}"
-    elif k < 0.42:
-        out = f"{i}. {last}"
-    elif k < 0.54:
-        out = f"{i}.{last}"
-    elif k < 0.66:
-        out = f"{last}, {first}"
-    elif k < 0.8:
-        out = r.choice([first, last])
-    elif k < 0.84:
-        out = f"{first} {r.choice('ABDGKLMNPRST')}. {last}"
-    elif k < 0.88:
-        out = f"{last} {i}."
-    else:
-        out = f"{first} {last}"
+        last = f"{last}-{word(r, 1, 2).capitalize()}"
+    i, j = first[0], r.choice("ABDGKLMNPRST")
+    forms = [(f"{first} {last}", 34), (f"{i}. {last}", 10), (f"{i}.{last}", 8), (f"{last}, {first}", 10), (first, 8), (last, 10), (f"{first} {j}. {last}", 4), (f"{last} {i}.", 4), (f"{last}, {i}.", 3), (f"{i}. {j}. {last}", 3), (f"{i}.{j}. {last}", 2), (f"{first} {r.choice(['van', 'de', 'al', 'bin', 'von', 'da'])} {last}", 2), (f"{first} {word(r).capitalize()} {last}", 3), (f"{last} {i}", 2), (f"{i} {last}", 2)]
+    out = r.choices([f for f, _ in forms], [n for _, n in forms])[0]
     k = r.random()
     return out.upper() if k < 0.08 else out.lower() if k < 0.2 else out
 
 
 def _email(r: random.Random) -> str:
-    user = r.choice([lambda: f"{_word(r)}.{_word(r)}", lambda: _word(r, 2, 4), lambda: f"{_word(r, 1, 1)[0]}_{_word(r)}{r.randint(1, 99)}", lambda: f"{_word(r)}+atlas", lambda: f"{_word(r)}{r.randint(1, 99)}"])()
-    labels = [*([_word(r, 1, 2)] if r.random() < 0.4 else []), r.choice([_word(r), f"{_word(r, 1, 2)}-inst", "post", "mail"]), r.choice(["example", "test", "org", "edu", "example.org", "com"])]
-    labels = ".".join(labels).split(".")
-    at, dot = r.choice([("@", ".")] * 6 + [(" @ ", "."), ("(at)", " [dot] "), (" [at] ", "."), (" at ", " dot "), ("(at)", "(dot)"), (" (at) ", ".")])
-    out = user + at + dot.join(labels)
-    k = r.random()
-    return out.upper() if k < 0.07 and at == "@" else out
+    a, b = (r.choice(GIVEN + FAMILY).replace("'", "").lower() if r.random() < 0.4 else word(r) for _ in "ab")
+    user = r.choice([f"{a}.{b}", a, f"{a[0]}{b}", f"{a[0]}_{b}{r.randint(1, 99)}", f"{a}+{b}", f"{b}{r.randint(1, 99)}", f"{a}-{b}"])
+    host = ".".join([*([word(r, 1, 2)] if r.random() < 0.4 else []), r.choice([word(r), f"{word(r, 1, 2)}-{word(r, 1, 1)}", "post", "gmail", "mail"]), *r.choice(["example", "test", "org", "edu", "com", "ac.in", "example.org", "co.uk", "de"]).split(".")])
+    at, dot = r.choice([("@", ".")] * 8 + [(" @ ", "."), ("(at)", " [dot] "), (" [at] ", "."), (" at ", " dot "), ("(at)", "(dot)"), (" (at) ", "."), ("[at]", "[dot]"), (" at ", " (dot) ")])
+    out = user + at + host.replace(".", dot)
+    return out.upper() if r.random() < 0.06 and at == "@" else out
 
 
 def _digits(r: random.Random, n: int) -> str:
     return "".join(r.choice("0123456789") for _ in range(n))
 
 
+def _fill(r: random.Random, shape: str) -> str:
+    """A shape with 9 for a digit, N for one from 2 to 9, A for a letter."""
+    return "".join(r.choice("0123456789") if c == "9" else r.choice("23456789") if c == "N" else r.choice("ABCDEFGHJKLMNPRSTVWXYZ") if c == "A" else c for c in shape)
+
+
+_PHONES = ["+N9 99999 99999", "+N9 9999999999", "+N9-9999999999", "+N9 9999 999999", "+1 (N99) 999-9999", "+1-N99-999-9999", "(N99) 999-9999", "N99-999-9999", "N99.999.9999", "0999 9999999", "099-99999999", "099999-99999", "09999 999999", "09999999999", "9999999999", "00 N9 99999 99999", "00N9 99 999999", "+N9 99 9999 9999", "+N99 9 999 9999", "+N9 (9) 99 999 999", "999 999 9999", "9999 999 999", "+N9 (99) 9999 9999", "999-9999", "0N9/9999999"]
+_IDS = ["999-99-9999", "9999 9999 9999", "9999-9999-9999", "999999999999", "A9999999", "AA999999", "A99999999", "AAAAA9999A", "AA 99 99 99 A", "99999999A", "A-9999999", "999 99 9999", "99 999 999 999", "AAA9999999", "999.999.999-99", "99999999999", "AAAA999999A9"]
+
+
 def _phone(r: random.Random) -> str:
-    d = lambda n: _digits(r, n)
-    out = r.choice(
-        [
-            lambda: f"+{r.choice(['91', '49', '33', '34', '1'])} {d(5)} {d(5)}", lambda: f"+91{d(10)}", lambda: f"+44 {d(4)} {d(6)}", lambda: f"0{d(5)}-{d(5)}", lambda: f"({d(3)}) {d(3)}-{d(4)}",
-            lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"00 91 {d(5)} {d(5)}", lambda: f"5{d(3)} {d(3)} {d(3)}", lambda: f"{r.choice('2345679')}{d(2)}-{d(3)}-{d(4)}", lambda: f"0{d(3)} {d(7)}", lambda: f"+{d(2)} ({d(2)}) {d(4)} {d(4)}", lambda: f"9{d(9)}",
-        ]
-    )()
-    return out + (r.choice([" ext. ", " ext ", " x"]) + str(r.randint(1, 99)) if r.random() < 0.12 else "")
+    return _fill(r, r.choice(_PHONES)) + (r.choice([" ext. ", " ext ", " x", " extn "]) + str(r.randint(1, 999)) if r.random() < 0.12 else "")
 
 
 def _id(r: random.Random) -> str:
-    d = lambda n: _digits(r, n)
-    up = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTVXYZ") for _ in range(n))
-    return r.choice([lambda: f"666-{d(2)}-{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"0{d(3)} {d(4)} {d(4)}", lambda: f"{d(4)}-{d(4)}-{d(4)}", lambda: d(12), lambda: f"{up(1)}{d(7)}", lambda: f"{up(5)}{d(4)}{up(1)}", lambda: f"{d(4)} {d(4)} {d(4)}"])()
+    return _fill(r, r.choice(_IDS))
 
 
 def _address(r: random.Random) -> str:
-    place, street, n = _word(r).capitalize(), _word(r).capitalize(), r.randint(1, 260)
-    if r.random() < 0.2:
-        place = place.lower()
-    kind = r.choice(["St.", "Street", "Marg", "Lane", "Road", "Rd", "Avenue", "Nagar"])
-    return r.choice(
-        [
-            lambda: f"{n} {street} {kind}, {place} {n:06d}", lambda: f"{n} {street} {kind}\n{place} {n:06d}", lambda: f"P.O. Box {n}, {place}", lambda: f"Flat {n % 20 + 1}{r.choice('AB')}, {street} Apartments, Sector {n % 30 + 1}, {place}",
-            lambda: f"House No. {n}, {street} Nagar, {place} - 000 {n:03d}", lambda: f"{n}/{n % 9 + 1}, {street} cross rd, {place}", lambda: f"Plot {n}, {street} {kind}, {place}", lambda: f"{n} {street} {kind}, {place}",
-        ]
-    )()
+    coined = lambda: r.choice(FAMILY) if r.random() < 0.15 else word(r).capitalize()
+    place, street, more, n = coined(), coined(), coined(), r.randint(1, 400)
+    kind = r.choice(["Street", "St.", "St", "Road", "Rd", "Rd.", "Lane", "Avenue", "Ave", "Marg", "Nagar", "Drive", "Close", "Enclave", "Colony", "Way", "cross rd", "Main Road", "Square"])
+    post = r.choice([lambda: _fill(r, "N99999"), lambda: _fill(r, "999 999"), lambda: _fill(r, "99999"), lambda: _fill(r, "AA9 9AA"), lambda: f"000{_digits(r, 3)}"])()
+    tail = r.choice([f", {place} {post}"] * 4 + [f", {place}"] * 4 + [f"\n{place} {post}", f", {place} - {post}", f", {place}, {post}", f", New {place} {post}", f", {place}, {more} {post}", f"\n{place}", f", {place}-{post}"])
+    lead = r.choice([f"{n} {street} {kind}"] * 6 + [f"{n}{r.choice('ABC')} {street} {kind}", f"{n}/{n % 9 + 1}, {street} {kind}", f"Flat {n % 30 + 1}{r.choice('AB')}, {street} Apartments, Sector {n % 60 + 1}", f"Flat {n % 40}, {street} {kind}", f"House No. {n}, {street} {kind}", f"House {n}, {street} {kind}", f"Plot {n}, {street} {kind}", f"Plot No. {n}, Sector {n % 60 + 1}", f"P.O. Box {n}", f"PO Box {n}", f"Apt {n}, {n + 7} {street} {kind}", f"Unit {n % 20 + 1}, {n} {street} {kind}", f"{n} {street} {kind}, {more}", f"Door {n}, {street} {kind}"])
+    out = lead + tail
+    return out.lower() if r.random() < 0.06 else out.replace(place, place.lower()) if r.random() < 0.12 else out
 
 
 _MAKE = {"name": _name, "email": _email, "phone": _phone, "id_number": _id, "address": _address}
 
 
-def _plain(r: random.Random) -> str:
-    t, out = r.choice(_PLAIN), ""
+def _filled(r: random.Random, frame: str, item: str = "") -> tuple[str, list[int]]:
+    """A frame with its slots filled, and where items begin. A frame may hold several items; each is made for itself."""
     makers = {
-        "d": lambda: str(r.randint(1, 99)), "y": lambda: str(r.randint(1901, 2099)), "X": lambda: _word(r).capitalize() + r.choice(["", "rol", "mesh", "dyne", "core"]), "x": lambda: _word(r), "w": lambda: r.choice(_WORDS), "n6": lambda: _digits(r, 6),
-        "i4": lambda: _digits(r, 4), "h": lambda: _digits(r, 3), "hex": lambda: "".join(r.choice("0123456789abcdef") for _ in range(24)), "date": lambda: f"20{r.randint(10, 25)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}",
+        "d": lambda: str(r.randint(1, 99)), "d1": lambda: _digits(r, 1), "y": lambda: str(r.randint(1901, 2099)), "X": lambda: word(r).capitalize() + r.choice(["", "", "ton", "mesh", "core", "pur", "field", "lite"]), "x": lambda: word(r), "w": lambda: r.choice(_WORDS), "n6": lambda: _digits(r, 6), "n8": lambda: f"8{_digits(r, 7)}", "i4": lambda: _digits(r, 4),
+        "h": lambda: _digits(r, r.choice([3, 4])), "hex": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([8, 24, 32]))), "date": lambda: f"20{r.randint(10, 29)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", "t": lambda: r.choice(_TITLES), "day": lambda: r.choice(_DAYS), "month": lambda: r.choice(_MONTHS),
     }
-    while "{" in t:
-        a, b = t.index("{"), t.index("}")
-        out, t = out + t[:a] + makers[t[a + 1 : b]](), t[b + 1 :]
-    return out + t
-
-
-def message(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
+    out, items = "", []
+    while "{" in frame:
+        a, b = frame.index("{"), frame.index("}")
+        out += frame[:a]
+        value = makers[frame[a + 1 : b]]() if b > a + 1 else _MAKE[item](r)
+        if b == a + 1:
+            items.append((len(out), len(out) + len(value)))
+        out, frame = out + value, frame[b + 1 :]
+    return out + frame, items
+
+
+def message(r: random.Random, frames: dict[str, list[str]], plain: list[str]) -> tuple[str, list[tuple[str, int, int]]]:
     """One message and its items (type, start, end)."""
     text, items = "", []
     for k in range(r.randint(1, 6)):
         if k:
-            text += r.choice([". ", ". ", "; ", ", ", " - ", "\n", ".\n"])
+            text += r.choice([". ", ". ", ". ", "; ", ", ", " - ", "\n", ".\n"])
         if r.random() < 0.5:
-            s = _plain(r)
+            s, _ = _filled(r, r.choice(plain))
+            if r.random() < 0.5:
+                s = s[:1].upper() + s[1:]
             text += s.lower() if r.random() < 0.15 else s
             continue
         kind = r.choice(TYPES)
-        frame, value = r.choice(_ITEMS[kind]), _MAKE[kind](r)
-        frame = frame.replace("{t}", r.choice(_TITLES))
-        if r.random() < 0.1:
+        frame = r.choice(frames[kind])
+        if r.random() < 0.4 and frame[0] != "{":
             frame = frame[:1].swapcase() + frame[1:]
-        a = frame.index("{}")
-        items.append((kind, len(text) + a, len(text) + a + len(value)))
-        text += frame.replace("{}", value)
-    return text + r.choice(["", ".", " -", ";", ","]), items
+        s, where = _filled(r, frame, kind)
+        items += [(kind, len(text) + a, len(text) + b) for a, b in where]
+        text += s
+    return text + r.choice(["", ".", "!", " -", ";", ","]), items
 
 
-def sample(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def sample(n: int, seed: int, held_out: bool = False) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """n messages; the held-out ones use item frames that the others don't, and plain sentences of both halves differ too."""
     r = random.Random(seed)
-    return [message(r) for _ in range(n)]
+    frames = HELD if held_out else FIT
+    plain = PLAIN[4::5] if held_out else [s for i, s in enumerate(PLAIN) if i % 5 != 4]
+    return [message(r, frames, plain) for _ in range(n)]
