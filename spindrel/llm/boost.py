@@ -88,14 +88,24 @@ class Trees:
         """Fit slope and shift of the raw score on held-out rows (Platt scaling by Newton steps)."""
         s = self.raw(x)
         a, c = 1.0, 0.0
+
+        def loss(a: float, c: float) -> float:
+            z = a * s + c
+            return float((np.logaddexp(0, z) - y * z).sum() + 5e-4 * a * a)
+
+        at = loss(a, c)
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-(a * s + c)))
+            p = 1 / (1 + np.exp(-np.clip(a * s + c, -30, 30)))
             w = np.maximum(p * (1 - p), 1e-9)
-            grad = np.array([((p - y) * s).sum(), (p - y).sum()])
+            grad = np.array([((p - y) * s).sum() + 1e-3 * a, (p - y).sum()])
             hess = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-3]])
             step = np.linalg.solve(hess, grad)
-            a, c = a - step[0], c - step[1]
-            if np.abs(step).max() < 1e-8:
+            size = 1.0
+            while size > 1e-6 and loss(a - size * step[0], c - size * step[1]) > at:  # never uphill
+                size /= 2
+            a, c = a - size * step[0], c - size * step[1]
+            at = loss(a, c)
+            if size * np.abs(step).max() < 1e-8 or size <= 1e-6:
                 break
         self.slope, self.shift = float(a), float(c)
         return self
