@@ -1,194 +1,231 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Three kinds of evidence are combined. Detectors look at each sentence: unfilled
-placeholders, field labels with a null value, filler words, and the wording of
-error pages and notices; a sentence of prose that merely mentions one of them is
-not flagged. Corpus evidence finds responses no detector knows: bodies that
-are the same once numbers and names are masked, served under many different
-titles by a host, whose words have nothing to do with the title's (the records
-carry no address, so the title takes the part of the slug).
+Every text is read once. Detectors find unfilled placeholders, field labels with a
+null value and filler, the latter by what it lacks: words of form, and variety.
+Error pages and notices are told by comparing terms: those of the title (which
+stands for the address slug too, the records carry none) with those of the body,
+and both with the vocabulary that systems speak about themselves. A passage that
+is nearly all such vocabulary is a response by itself; one that is so in part is
+one if its masked form comes back under several titles it has nothing to do with,
+counted per host and over hosts.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from ..session import cut
 
 # ---- fixed values: notations of placeholders; a field name is letters and underscores ----
-_NAME = r"[A-Za-z][A-Za-z_]{2,30}"
+_NAME = r"[A-Za-z][A-Za-z_]{2,}"
 PLACEHOLDER = re.compile(
     rf"\{{\{{\s*{_NAME}\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|\{{%\s*{_NAME}\s*%\}}|(?<![{{$\\\w])\{{{_NAME}\}}(?!\}})|<<\s*{_NAME}\s*>>"
     rf"|(?<!<)<(?!/?(?:html|head|title|body|h[1-6]|div|span|table|br|hr|img|pre|code|sub|sup|strong|script|style|link|meta|form|input)\b){_NAME}>(?!>)"
     rf"|(?<![\w%])%{_NAME}%(?![\w%])|(?<![\w#])#{_NAME}#(?![\w#])|(?<![\w])__{_NAME}__(?!\w)"
-    r"|\[\s*(?:INSERT|ENTER|ADD|YOUR)\s[^\]\n]{1,40}\]|\[[A-Z][A-Z_ ]{1,30}\s(?:TBD|TBA|TODO)\]"
+    r"|\[\s*(?:insert|enter|add|your)\s[^\]\n]{1,60}\]|\[[A-Z][A-Z_ ]+\s(?:TBD|TBA|TODO)\]|\[\s*(?:(?:first|last|full|user|company|job)[ _])?(?:name|company|date|title|address|e?-?mail|phone|city|organi[sz]ation|department|position|subject|amount)\s*\]",
+    re.IGNORECASE,
 )
+OPENERS = re.compile(r"[{<%#_\[]")
 NO_VALUE = r"(?:null|none|nan|undefined|\[object Object\]|n/a|nil)"
 FIELD = re.compile(rf"^\W{{0,3}}[A-Z][A-Za-z_]*(?: [A-Z][A-Za-z_]*){{0,2}}\s?[:=]\s*{NO_VALUE}\W{{0,2}}$", re.IGNORECASE)
 FIELD_INLINE = re.compile(rf"\b[A-Z][A-Za-z_]*(?: [A-Z][A-Za-z_]*)?: {NO_VALUE}(?=\s|$)")
-# ---- fixed values: words of the usual filler passage and its relatives ----
+#: Words of those who write about placeholders instead of leaving them unfilled.
+ABOUT = frozenset("template templates placeholder placeholders syntax engine variable variables macro macros expand expanded expands render rendered parser parsed notation latex markup written literal escape escaped substitute substituted replaces token tokens".split())
+# ---- fixed values: the words of the traditional filler passage ----
 FILLER = frozenset(
     """lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
     enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit
-    esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum
-    vero porta tempus cursus minima velum solum varia noctus pellum quentis ardor""".split()
+    esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum""".split()
 )
-# ---- fixed values: wording of error pages and notices, each covering most of its sentence ----
-NOTICES = [
-    # status lines
-    r"^(?:http )?(?:error|fehler|erreur|status)\W{0,3}[1-5]\d\d\b.{0,40}$",
-    r"^[45]\d\d\b\W{0,4}(?:error|page|file|not|forbidden|unauthori[sz]ed|bad|service|internal|gateway|gone|too|request).{0,40}$",
-    r"^(?:internal server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|forbidden|unauthori[sz]ed|not found|too many requests|access denied|permission denied|bad request|request time-?out)\b\W{0,3}(?:\(?\d{3}\)?)?\W{0,3}$",
-    r"^(?:the )?(?:requested )?(?:page|url|file|resource|document|site)\b.{0,30}\b(?:not found|could not be found|cannot be found|can't be found|does not exist|was moved or never existed|has been (?:re)?moved).{0,40}$",
-    r"^the page you (?:asked for|requested|are looking for)\b.{0,70}$",
-    r"^the service is (?:temporarily )?unavailable\W*$",
-    r"^(?:sorry|oops)\b.{0,60}(?:wrong|error|not found|unavailable).{0,30}$",
-    r"^(?:an? )?(?:unexpected |unknown |fatal )?error (?:has )?occurred\b.{0,60}$",
-    r"^upstream \w+ sent no response\W*$",
-    # programs
-    r"^traceback \(most recent call last\)\W*$",
-    r"^\w*(?:error|exception): .{1,90}$",
-    r"^file \"[^\"]+\", line \d+\b.{0,40}$",
-    r"^at [\w.$<>]+ ?\([^)]*:\d+(?::\d+)?\)\W*$",
-    r"^(?:fatal|uncaught|unhandled) \w*(?:error|exception)\b.{0,80}$",
-    # access, sessions
-    r"^your session (?:has |is )?(?:expired|ended|timed out)\b.{0,60}$",
-    r"^(?:please )?(?:sign|log) in (?:again|first|to (?:continue|view|read))\b.{0,50}$",
-    r"^you (?:do not|don't) have (?:the )?permission to\b.{0,60}$",
-    r"^too many requests\b.{0,60}$",
-    r"^slow down and retry\b.{0,40}$",
-    r"^(?:please )?try again (?:in \d+|later)\b.{0,30}$",
-    # scripts, cookies, consent, checks of the browser
-    r"^(?:please )?(?:enable|activate|turn on|switch on|allow) (?:java ?script|scripts|cookies)\b.{0,70}$",
-    r"^you need to (?:turn on|enable|switch on|allow) (?:java ?script|scripts|cookies)\b.{0,80}$",
-    r"^(?:java ?script|cookies?) (?:is|are|must be) (?:disabled|required|enabled|needed)\b.{0,60}$",
-    r"^this (?:app|site|page|website) (?:works best with|requires|needs) (?:java ?script|scripts|cookies)\b.{0,50}$",
-    r"^we use cookies\b.{0,90}$",
-    r"^accept all to continue\W*$",
-    r"^without consent this page cannot be shown\W*$",
-    r"^checking (?:your|the) browser before\b.{0,60}$",
-    r"^(?:please )?(?:verify|confirm) (?:that )?you are (?:a )?human\b.{0,40}$",
-    # unfinished pages
-    r"^this (?:page|profile|site|section) is under construction\W*$",
-    r"^(?:content )?coming soon\W*$",
-    # other languages of the corpus
-    r"^(?:die )?seite (?:wurde )?nicht gefunden\b.{0,30}$",
-    r"^(?:bitte )?(?:aktivieren sie|schalten sie) (?:java ?script|cookies)\b.{0,50}$",
-    r"^diese seite (?:benötigt|erfordert|braucht) (?:java ?script|cookies)\b.{0,40}$",
-    r"^ihre sitzung ist abgelaufen\b.{0,40}$",
-    r"^cette page (?:exige|nécessite|requiert) (?:java ?script|les cookies|des cookies)\b.{0,40}$",
-    r"^(?:la )?page (?:est )?(?:introuvable|non trouvée)\b.{0,40}$",
-    r"^votre session a expiré\b.{0,40}$",
-    r"^no se encontró la página\b.{0,40}$",
-    r"^(?:la )?página (?:no encontrada|no existe)\b.{0,40}$",
-    r"^(?:su|la) sesión ha (?:caducado|expirado)\b.{0,40}$",
-    r"^(?:esta página )?(?:requiere|necesita) (?:java ?script|cookies)\b.{0,40}$",
-    r"^(?:यह )?पृष्ठ (?:उपलब्ध नहीं|नहीं मिला).{0,30}$",
-    r"^\(?त्रुटि \d{3}\)?\W*$",
-]
-NOTICE = re.compile("|".join(f"(?:{p})" for p in NOTICES), re.IGNORECASE)
-ERROR_HTML = re.compile(r"<title>\s*(?:error|\d{3}|forbidden|not found|bad gateway)[^<]*</title>|<h1>\s*(?:error|\d{3}|forbidden|not found|bad gateway|internal server error)[^<]*</h1>", re.IGNORECASE)
-#: Words that make a repeated response under foreign titles look like a notice rather than a text worth keeping.
-NOTICE_WORDS = frozenset(
-    """access again available browser click consent contact content continue cookie cookies denied disabled enable error expired fehler home javascript later load
-    loading log login menu missing moved page permission please portal redirect refresh reload request retry return script scripts seite server service session
-    sign site soon status support temporarily terms unavailable website página página sesión erreur reintentar""".split()
+#: Those of them that no other language of a corpus uses as words of form.
+LATIN = FILLER - frozenset("do ut et ad ex ea in esse eu non sed sit id est qui sint sunt elit".split())
+# ---- fixed values: words of form of the corpus's languages, which filler lacks and terms leave out ----
+FORM = frozenset(
+    """a an the of for and in on to with by at from as is are was were be been has have had do does did will would can cannot could may might must shall should not no nor or but if than then that this these those it its we our you your they their he she his her there here who which what when where why how all any each some such so too very more most about after before between into over under out up down off again per via one two us me my i
+    der die das den dem des ein eine einer eines und oder nicht kein keine mit von zu zur zum für auf im in ist sind war waren wird werden sie ihr ihre wir es dass bei nach aus am als auch
+    le la les un une des du de et ou ne pas par pour sur dans est sont au aux ce cette ces il elle nous vous votre vos qui que en avec plus puis se sa son ses
+    el los las una unos del y o no por para con en es son al su sus que se lo como más este esta estos
+    यह वह है हैं था के का की को से में पर और या ने एक इस उस हो गया गई जा रहा रहे करें कर लिए तो भी""".split()
 )
+# ---- fixed values: how systems speak about themselves. Beginnings of words; those of up to four letters stand for themselves and their endings ----
+#: What the notice is about.
+SUBJECT = tuple(
+    """page site website webpage server service session request gateway browser javascript script cookie access account login connection database url resource content portal application host proxy upstream captcha human robot address link profile directory
+    seite server dienst sitzung anfrage zugriff browser verbindung inhalt datei
+    serveur session requête accès navigateur connexion contenu fichier adresse
+    página servidor servicio sesión solicitud acceso navegador conexión contenido dirección sitio
+    पृष्ठ सर्वर सेवा सत्र अनुरोध ब्राउज़र कुकी जावास्क्रिप्ट स्क्रिप्ट""".split()
+)
+#: What is wrong with it.
+FAULT = tuple(
+    """error bad fail fault exception invalid expire timeout timed unavailable unable missing forbidden denied unauthori unreachable refused blocked disabled required requires maintenance construction temporar redirect loading overload crash corrupt broken soon coming
+    fehler abgelaufen gesperrt verweigert ungültig gefunden nötig erforderlich wartung
+    erreur expiré introuvable interdit refusé indisponible exige nécessite requiert trouvé
+    error caducad expirad prohibid denegad encontr disponible requier necesit
+    त्रुटि उपलब्ध समाप्त नहीं मिला अस्वीकृत""".split()
+)
+#: What the reader is to do about it.
+ORDER = tuple(
+    """please enable activate allow sign log retry try reload refresh return check verify confirm accept agree consent continue click wait persist minute second later switch turn cookies ray back home administrator support moved existed moment use private secure shown slow works best establish
+    bitte aktivieren anmelden versuchen prüfen laden zustimmen später schalten erneut
+    veuillez activez activer connectez reconnectez réessayez rechargez vérifiez acceptez tard
+    favor active habilite inicie inténtelo intente recargue verifique acepte tarde nuevo
+    कृपया बाद प्रयास लॉग पुनः सक्षम जाँच""".split()
+)
+#: Status lines and the traces of programs.
+STATUS = re.compile(r"\b(?:http|error|erreur|fehler|status|code|त्रुटि)\W{0,3}[45]\d\d\b|^\W*[45]\d\d\b|\([45]\d\d\)", re.IGNORECASE)
+TRACE = re.compile(r"^traceback \(most recent call last\)|^\w*(?:error|exception): .+$|^file \"[^\"]+\", line \d+|^at [\w.$<>]+ ?\([^)]*:\d+(?::\d+)?\)\W*$|^(?:fatal|uncaught|unhandled) \w*(?:error|exception)\b", re.IGNORECASE)
+TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
+CODE = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b|\d+")
 
-OPENERS = re.compile(r"[{<%#_\[]")
-LONGEST = 200
-
+PARAGRAPH = re.compile(r"\n\s*\n")
 SENTENCE = re.compile(r"(?<=[.!?।…])\s+|\s*\n+\s*")
-WORD = re.compile(r"[^\W\d_]+")
-
-
-def _about(sentence: str, marks: int) -> bool:
-    """A sentence of prose that mentions a single placeholder: six ordinary words or more around one mark."""
-    return marks == 1 and len(WORD.findall(PLACEHOLDER.sub(" ", sentence))) >= 6
+WORD = re.compile(r"[^\W\d_]+(?:[ऀ-ॣ]+[^\W\d_]*)*")
+#: Parts of a passage's terms that are system vocabulary: enough by themselves, and enough beside evidence of the corpus.
+ALONE, BESIDE = 0.75, 0.4
+
+
+@lru_cache(maxsize=200_000)
+def word_class(word: str) -> int:
+    """0 a term of its own, 1 a word of form, 2 subject, 3 fault, 4 order."""
+    if word in FORM:
+        return 1
+    for k, stems in ((2, SUBJECT), (3, FAULT), (4, ORDER)):
+        for stem in stems:
+            if word.startswith(stem) and (len(stem) > 4 or word[len(stem) :] in ("", "s", "ed", "es", "ing")):
+                return k
+    return 0
+
+
+def system_share(passage: str) -> tuple[float, bool]:
+    """The part of a passage's terms that systems use about themselves, and whether they make up a message: a fault or an order beside something it is about."""
+    subject = fault = order = own = 0
+    start = True
+    for w in WORD.finditer(passage):
+        word = w.group()
+        # names within a sentence are no terms
+        named = word[0].isupper() and not start and w.start() > 1 and passage[w.start() - 2] not in ".!?:।>"
+        start = False
+        k = word_class(word.lower())
+        if k == 0 and not (named and not word.isupper()):
+            own += 1
+        subject, fault, order = subject + (k == 2), fault + (k == 3), order + (k == 4)
+    status = len(STATUS.findall(passage))
+    fault += status
+    said = subject + fault + order
+    return said / max(1, said + own), said >= 2 and (fault > 0 or (order > 0 and subject > 0))
+
+
+def _about(sentence: str) -> bool:
+    """A sentence that speaks of placeholders."""
+    return any(w.lower() in ABOUT for w in WORD.findall(PLACEHOLDER.sub(" ", sentence)))
 
 
 def _filler(found: list[str]) -> bool:
-    """Eight words in a row or more, nearly all of them filler."""
-    if len(found) < 6:
-        return False
-    known = [w.lower() in FILLER for w in found]
-    window = 8
-    if len(found) <= window:
-        return sum(known) >= 0.8 * len(found)
-    run = sum(known[:window])
-    if run >= 7:
-        return True
-    for i in range(window, len(known)):
-        run += known[i] - known[i - window]
-        if run >= 7:
-            return True
+    """Eight words or more without a word of form between them, of which one in seven at least is of the traditional passage, or which are twenty at least of few kinds."""
+    run: list[str] = []
+    for w in [*found, "the"]:
+        if w in FORM and w not in LATIN:
+            if len(run) >= 8:
+                latin = sum(x in LATIN for x in run)
+                if latin >= 2 and latin * 7 >= len(run) or (len(run) >= 20 and len(set(run)) * 2 <= len(run) and latin):
+                    return True
+            run = []
+        else:
+            run.append(w)
     return False
 
 
-def residue_kind(text: str | None) -> str:
-    """The first kind of residue in a text: placeholder, field, filler, notice, or ''. Every sentence of the whole text is looked at."""
-    if not text:
-        return ""
-    for sentence in SENTENCE.split(text):
-        s = sentence.strip(" \t\r-*•·")
-        if not s:
-            continue
-        marks = len(PLACEHOLDER.findall(s)) if OPENERS.search(s) else 0
-        if marks and not _about(s, marks):
-            return "placeholder"
-        if FIELD.match(s) or len(FIELD_INLINE.findall(s)) >= 2:
-            return "field"
-        # no notice pattern covers more than LONGEST characters
-        if (len(s) <= LONGEST and NOTICE.match(re.sub(r"\s+", " ", s))) or ("<" in s and ERROR_HTML.search(s)):
-            return "notice"
-    return "filler" if _filler(WORD.findall(text)) else ""
+def _masked(passage: str) -> str:
+    """A passage as a host's template would give it: lower case, with numbers, codes and names within sentences masked."""
+    t = CODE.sub("0", passage)
+    t = re.sub(r"(?<=[^\W\d_A-Z] )[A-Z][^\W\d_]+", "X", t)
+    return re.sub(r"\s+", " ", t).strip().lower()
 
 
-@F.pandas_udf(StringType())
-def _kind(texts: pd.Series) -> pd.Series:
-    return texts.map(residue_kind)
+def _terms(text: str) -> set[str]:
+    return {w for w in (x.lower() for x in WORD.findall(text)) if len(w) >= 4 and w not in FORM}
 
 
-def _mask(text):
-    """A body as a host's template would give it: lower case, with numbers, long codes and capitalised names masked."""
-    t = F.regexp_replace(text, r"\b[0-9a-f]{8,}\b|\d+(?:\.\d+)?", "0")
-    t = F.regexp_replace(t, r"(?<=\p{Ll} )\p{Lu}[\p{L}\p{N}]+", "X")
-    return F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+def read_text(text: str | None, title: str | None) -> tuple[str, list[tuple[str, bool]]]:
+    """The kind of residue a text holds by itself (placeholder, field, filler, notice or ''), and else its passages (masked, mismatched) that evidence of the corpus must decide. The whole text is looked at."""
+    if not text:
+        return "", []
+    doubtful: list[tuple[str, bool]] = []
+    words: list[str] = []
+    for paragraph in PARAGRAPH.split(text):
+        plain = TAG.sub(" . ", paragraph) if "</" in paragraph else paragraph
+        passages = []
+        for sentence in SENTENCE.split(paragraph):
+            s = sentence.strip(" \t\r-*•·")
+            if not s:
+                continue
+            if OPENERS.search(s) and PLACEHOLDER.search(s) and not _about(s):
+                return "placeholder", []
+            if ":" in s and (FIELD.match(s) or len(FIELD_INLINE.findall(s)) >= 2):
+                return "field", []
+            if TRACE.match(s):
+                return "notice", []
+            if "|" not in s:  # lines of links say nothing by themselves
+                passages.append(s)
+        low = plain.lower()
+        found = WORD.findall(low)
+        words += found
+        classes = sum(word_class(w) >= 2 for w in found)
+        if classes + len(STATUS.findall(plain)) < 2:
+            continue
+        for passage in ([plain] if len(passages) > 1 or plain is not paragraph else []) + passages:
+            share, message = system_share(passage)
+            if not message:
+                continue
+            if share >= ALONE:
+                return "notice", []
+            if share >= BESIDE:
+                doubtful.append((_masked(passage), not title or not _terms(passage) & _terms(title)))
+    return ("filler", []) if _filler(words) else ("", doubtful)
 
 
-def _terms(text):
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
+def residue_kind(text: str | None) -> str:
+    """The kind of residue a text holds whatever the corpus says."""
+    return read_text(text, None)[0]
 
 
-def residue(documents: DataFrame, least_titles: int = 3, most_words: int = 60) -> DataFrame:
+def residue(documents: DataFrame, least_titles: int = 3) -> DataFrame:
     """Documents with residue: doc_id, kind (placeholder, field, filler, notice, response).
 
-    A response is a body of at most `most_words` words whose masked form one host
-    serves under at least `least_titles` different titles, sharing no term with its
-    own title, and with at least one word in ten a notice word. Titles are
-    counted over the whole corpus per masked form and host; equal ones are combined on the map side first.
+    A response is a passage partly in system vocabulary whose masked form comes
+    under at least `least_titles` different titles of one host, or as many titles
+    of several hosts together, and which shares no term with its own title. The
+    text is read once; only doubtful passages and verdicts are kept, and their
+    titles counted over the whole corpus, equal ones combined on the map side.
     Null and empty texts are no residue; null titles are no evidence; repeated ids
     appear once; an empty table gives no rows; other columns are ignored.
     """
-    docs = documents.select("doc_id", "text", F.col("title").alias("title"), F.coalesce("source", F.lit("")).alias("host"))
-    judged = docs.withColumn("kind", _kind("text"))
-    known = judged.filter(F.col("kind") != "").select("doc_id", "kind")
-
-    body = F.filter(F.split(_mask(F.col("text")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    words = F.array(*[F.lit(w) for w in sorted(NOTICE_WORDS)])
-    short = (
-        docs.filter(F.length("text") <= most_words * 12)
-        .withColumn("body", body)
-        .filter((F.size("body") > 0) & (F.size("body") <= most_words))
-        .filter(F.size(F.filter("body", lambda w: F.array_contains(words, w))) * 10 >= F.size("body"))
-        .filter(F.size(F.array_intersect(_terms(F.col("title")), _terms(F.col("text")))) == 0)
-        .select("doc_id", "host", "title", F.xxhash64(F.array_join("body", " ")).alias("form"))
-    )
-    served = short.groupBy("host", "form").agg(F.countDistinct("title").alias("titles")).filter(F.col("titles") >= least_titles)
-    responses = short.join(served, ["host", "form"], "left_semi").select("doc_id", F.lit("response").alias("kind"))
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            ids, titles = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for doc, text, title in zip(ids, batch.column(1), titles):
+                kind, doubtful = read_text(text.as_py(), title)
+                if kind:
+                    rows.append((doc, kind, None, None))
+                rows += [(doc, "", title, form) for form, mismatched in dict(doubtful).items() if mismatched]
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), *(pa.array(c, pa.string()) for c in columns[1:])], ["doc_id", "kind", "title", "form"])
+
+    judged = cut(documents.select("doc_id", "text", F.col("title").cast("string").alias("title")).mapInArrow(run, f"doc_id {id_type}, kind string, title string, form string"))
+    known = judged.filter("kind <> ''").select("doc_id", "kind")
+    doubtful = judged.filter("kind = ''").select("doc_id", "title", F.xxhash64("form").alias("form"))
+    served = doubtful.groupBy("form").agg(F.countDistinct("title").alias("titles")).filter(F.col("titles") >= least_titles)
+    responses = doubtful.join(served, "form", "left_semi").select("doc_id", F.lit("response").alias("kind"))
     return known.unionByName(responses).groupBy("doc_id").agg(F.min("kind").alias("kind"))
 
 

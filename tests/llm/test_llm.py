@@ -325,6 +325,8 @@ def test_matches(spark):
         ("Unit: NaN\nDate: NaN", "field"), ("Year: [object Object]", "field"), ("The value was null after the run.", ""),
         ("Lorem ipsum dolor amet tempus solum pellum porta minima.", "filler"), ("A legibility test with lorem ipsum as stimulus gave 5 errors per page.", ""),
         ("404 - page not found\nReturn to the home page.", "notice"), ("HTTP Error 503. The service is unavailable.", "notice"), ("Please enable JavaScript to use this directory.", "notice"), ("Traceback (most recent call last):\nKeyError: 'x'", "notice"),
+        ("Error establishing a database connection", "notice"), ("Dear [Name], thank you for contacting [Company].", "placeholder"), ("Your connection is not private", "notice"), ("Site under maintenance", "notice"),
+        ("Soil keeps water.\n\nYou are being redirected, please wait.", "notice"), ("Welcome to the page of {{name}} in the Department of Physics", "placeholder"), ("La página no existe. Error 404", "notice"), ("Das Moor speichert Wasser und Kohlenstoff über lange Zeit.", ""), ("We measured the error of the sensor and the delay of its response.", ""),
         ("Readers without JavaScript still see the table, since it renders on the server.", ""), ("The crawl log held 35 lines with status 404, which we drop before fitting.", ""), ("The paper asks why a 503 reply delays simulation.", ""), ("", ""), (None, ""), ("word " * 50000, ""),
     ],
 )
@@ -333,12 +335,13 @@ def test_residue_kind(text, kind):
 
 
 def test_repeated_responses(spark):
-    rows = [(i, f"Portal status {i}: loading the site, please refresh the page later", f"Soil layers {i} thing{'abc'[i % 3]}", "h", 1) for i in range(5)] + [(9, "Real words about soil layers and water", "Soil layers", "h", 1), (10, None, None, None, 1), (0, rows0 := "Portal status 0: loading the site, please refresh the page later", "Soil layers 0 thinga", "h", 1)]
-    assert rows0
+    gate = "Checking your browser, the Hutrol gate opens in {} seconds"
+    rows = [(i, gate.format(i), f"Soil layers {i} thing{'abc'[i % 3]}", "h", 1) for i in range(5)] + [(9, "Real words about soil layers and water", "Soil layers", "h", 1), (10, None, None, None, 1), (0, gate.format(0), "Soil layers 0 thinga", "h", 1)]
+    rows += [(20 + i, f"A browser of the {i} visitors takes seconds", "Visitors of one title", "h", 1) for i in range(5)] + [(30, "Your session" + " " * 220 + "has expired.", "Soil", "h", 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, title string, source string, kind int")
     found = residue.residue(df)
-    assert {r["doc_id"]: r["kind"] for r in found.collect()} == {i: "response" for i in range(5)}
-    assert sorted(r["doc_id"] for r in residue.without_residue(df, found).collect()) == [9, 10]
+    assert {r["doc_id"]: r["kind"] for r in found.collect()} == {**{i: "response" for i in range(5)}, 30: "notice"}
+    assert sorted(r["doc_id"] for r in residue.without_residue(df, found).collect()) == [9, 10, 20, 21, 22, 23, 24]
     assert residue.residue(df.limit(0)).count() == 0
 
 
