@@ -17,8 +17,14 @@ def clamp_arg(value: object, default: int, low: int, high: int | None = None) ->
 
 
 def tolerant_int(c: Column, default: int = 0) -> Column:
-    """Digits with thousands separators; anything else is the default."""
-    return F.coalesce(F.expr("try_cast(null as int)") if c is None else F.try_to_number(F.replace(F.trim(c), F.lit(","), F.lit("")), F.lit("999999999")).cast("int"), F.lit(default))
+    """Digits with thousands separators and blanks around; null and anything else is the default."""
+    plain = F.regexp_replace(F.trim(c), ",", "")
+    return F.coalesce(F.when(F.regexp_like(plain, F.lit(r"^[+-]?\d{1,9}$")), plain.cast("int")), F.lit(default))
+
+
+def rounded(c: Column, digits: int = 1) -> Column:
+    """Half to even."""
+    return F.bround(c, digits)
 
 
 def shown(metric: Column, visible: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clamp_arg, shown
+from ..functions.numbers import clamp_arg, rounded, shown
 from ..functions.text import first_given, holds, listed_once, tokens, word_in
 from .identity import CATEGORY_TAGS, memberships, tag_of, with_unit
 
@@ -18,7 +18,32 @@ def grouped(persons: DataFrame, departments: DataFrame, category: str = "all") -
     wanted = {tag: name for name, tag in CATEGORY_TAGS.items()}.get(category)
     rows = rows.filter(F.col("category") == wanted) if wanted else rows
     ranked = F.array_sort(F.collect_list(F.struct((-F.coalesce("h_index", F.lit(-1))).alias("h"), "faculty_id")))
-    return rows.groupBy("dept_id", "unit_name").agg(F.count(F.lit(1)).alias("n_faculty"), F.round(F.avg("h_index"), 4).alias("mean_h_index"), F.array_join(F.transform(ranked, lambda x: x["faculty_id"]), ",").alias("faculty_ids"))
+    return rows.groupBy("dept_id", "unit_name").agg(F.count(F.lit(1)).alias("n_faculty"), rounded(F.avg("h_index")).alias("mean_h_index"), F.array_join(F.transform(ranked, lambda x: x["faculty_id"]), ",").alias("faculty_ids"))
+
+
+def grouped_cards(persons: DataFrame, departments: DataFrame) -> DataFrame:
+    """The cards of every unit's people, home or further, as rows: dept_id, place (from 1, by h-index, highest first), and the card. One row per person, so no unit is gathered."""
+    rows = memberships(persons, departments)
+    place = F.row_number().over(Window.partitionBy("dept_id").orderBy(F.coalesce("h_index", F.lit(-1)).desc(), "faculty_id")).cast("bigint")
+    v = "metric_visibility"
+    return rows.select("dept_id", place.alias("place"), "faculty_id", "name", "designation", shown(F.col("h_index"), F.col(f"{v}.h_index")).alias("h_index"), shown(F.col("citation_count"), F.col(f"{v}.citations")).alias("citation_count"))
+
+
+def totals(persons: DataFrame, departments: DataFrame) -> DataFrame:
+    """One row over all units: units with people, memberships, different people."""
+    rows = memberships(persons, departments).select("dept_id", "faculty_id")
+    return rows.agg(F.countDistinct("dept_id").alias("n_units"), F.count(F.lit(1)).alias("n_memberships"), F.countDistinct("faculty_id").alias("n_faculty"))
+
+
+def best_text(persons: DataFrame, query: str, limit: object = 10) -> DataFrame:
+    """The people `search_text` scores highest, ties by id."""
+    return search_text(persons, query).orderBy(F.desc("score"), "faculty_id").limit(clamp_arg(limit, 10, 1, 100))
+
+
+def units_in_order(departments: DataFrame, limit: int) -> DataFrame:
+    """Units by name as a reader would sort them, letter case last: place (from 1), name."""
+    names = departments.select("name").distinct().orderBy(F.collate("name", "UNICODE"), "name").limit(limit)
+    return names.select(F.row_number().over(Window.orderBy(F.collate("name", "UNICODE"), "name")).cast("bigint").alias("place"), "name")
 
 
 def unit_summary(persons: DataFrame, departments: DataFrame) -> DataFrame:

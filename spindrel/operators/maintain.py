@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .identity import unit_names
+from .orphans import reference_key
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, columns: list[str], insert_only: tuple[str, ...] = ()) -> DataFrame:
@@ -90,3 +91,57 @@ def rejected(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rows.withColumn("messages", F.array_join(messages, "; ")).filter("messages <> ''")
 
 
+
+
+def set_by_mailbox(persons: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
+    """People whose fields a change list (kerberos and some of the columns) sets: faculty_id, the columns, changed. A null says nothing; the address must begin with kerberos@; of several changes of a mailbox the largest value of each column counts."""
+    one = changes.select(F.lower(F.trim("kerberos")).alias("_box"), *columns).filter("_box <> ''").groupBy("_box").agg(*[F.max(c).alias(f"_new_{c}") for c in columns])
+    rows = persons.withColumn("_box", F.when(F.contains("email", F.lit("@")), F.lower(F.substring_index("email", "@", 1)))).join(one, "_box", "left")
+    new = {c: F.coalesce(f"_new_{c}", F.col(c)) for c in columns}
+    changed = F.lit(False)
+    for c in columns:
+        changed = changed | ~new[c].eqNullSafe(F.col(c))
+    return rows.select("faculty_id", *[v.alias(c) for c, v in new.items()], changed.alias("changed"))
+
+
+def recategorised(departments: DataFrame, corrections: dict[str, str]) -> DataFrame:
+    """Units with a list of categories by code applied: dept_id, code, previous, category. A listed code that no unit has is an error row of its own with no dept_id."""
+    table = departments.sparkSession.createDataFrame(sorted(corrections.items()), "_code string, wanted string")
+    rows = departments.select("dept_id", "code", F.col("category").alias("previous")).distinct().join(table, F.lower("code") == F.lower("_code"), "full")
+    return rows.select("dept_id", F.coalesce("code", "_code").alias("code"), "previous", F.coalesce("wanted", "previous").alias("category"))
+
+
+def unit_sync(wanted: DataFrame, departments: DataFrame) -> DataFrame:
+    """What a membership file (code, name, category, may_create) would do to the units: code, action (create, update, none, skip), name, category."""
+    held = departments.select(F.upper("code").alias("code"), F.col("name").alias("_name"), F.col("category").alias("_category")).groupBy("code").agg(F.max("_name").alias("_name"), F.max("_category").alias("_category"))
+    rows = wanted.select(F.upper(F.trim("code")).alias("code"), "name", "category", "may_create").join(held, "code", "left")
+    same = F.col("name").eqNullSafe(F.col("_name")) & F.col("category").eqNullSafe(F.col("_category"))
+    action = F.when(F.col("_name").isNull(), F.when(F.col("may_create"), "create").otherwise("skip")).when(same, "none").otherwise("update")
+    return rows.select("code", action.alias("action"), "name", "category")
+
+
+def verified_matches(matches: DataFrame, persons: DataFrame, departments: DataFrame) -> DataFrame:
+    """Whether a match list (row_key, faculty_id, email, code) holds: same_email, home_unit (the unit is the person's home), affiliated (it is a further one), covered (either)."""
+    lookup = unit_names(departments).select(F.col("ref").alias("_code"), F.lower("dept_id").alias("unit"))
+    held = persons.select("faculty_id", F.lower("email").alias("_email"), F.col("unit_ref"), F.transform(F.coalesce("affiliations", F.array().cast("array<string>")), reference_key).alias("more"))
+    home = unit_names(departments).select(F.col("ref").alias("unit_ref"), F.lower("dept_id").alias("home"))
+    rows = matches.withColumn("_code", F.upper(F.trim("code"))).join(lookup, "_code", "left").join(held, "faculty_id").join(home, "unit_ref", "left")
+    no = F.lit(False)
+    is_home = F.coalesce(F.col("home") == F.col("unit"), no)
+    further = F.coalesce(F.array_contains("more", F.col("unit")) | F.array_contains("more", F.col("_code")), no)
+    return rows.select("row_key", "faculty_id", F.coalesce(F.lower(F.trim("email")) == F.col("_email"), no).alias("same_email"), is_home.alias("home_unit"), further.alias("affiliated"), (is_home | further).alias("covered"))
+
+
+def on_roster(rows: DataFrame, roster: DataFrame) -> DataFrame:
+    """Rows (dept_id, faculty_id, ...) that a roster (dept_id, faculty_id) admits: for every listed unit, rows of other units, or people it lists."""
+    units = roster.select(F.lower("dept_id").alias("_unit")).distinct().withColumn("_listed", F.lit(True))
+    listed = roster.select(F.lower("dept_id").alias("_unit"), F.lower("faculty_id").alias("_who")).distinct().withColumn("_on", F.lit(True))
+    keyed = rows.withColumn("_unit", F.lower("dept_id")).withColumn("_who", F.lower("faculty_id"))
+    return keyed.join(units, "_unit", "left").join(listed, ["_unit", "_who"], "left").filter("_listed IS NULL OR _on").drop("_unit", "_who", "_listed", "_on")
+
+
+def report(sections: dict[str, DataFrame], key: str) -> DataFrame:
+    """Several plans as one report table: section, key, detail (the row as JSON), ready to be written as JSON lines."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(name).alias("section"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(*sorted(df.columns))).alias("detail")) for name, df in sections.items()])

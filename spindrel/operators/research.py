@@ -86,16 +86,19 @@ def stored_totals(works: DataFrame, persons: DataFrame, enough: int = 10) -> Dat
 
 
 def coauthors(works: DataFrame) -> DataFrame:
-    """Different co-authors' names per author id, in any letter case, without the author."""
-    w = works.select("paper_id", F.explode("authors").alias("a")).select("paper_id", F.col("a.author_id").alias("author_id"), F.lower(F.trim("a.author_name")).alias("name"))
-    other = w.select("paper_id", F.col("author_id").alias("other"), F.col("name").alias("other_name"))
-    return w.join(other, "paper_id").filter((F.col("author_id") != F.col("other")) & (F.col("name") != F.col("other_name"))).groupBy("author_id").agg(F.countDistinct("other_name").alias("n_coauthors"))
+    """Different co-authors' names per author id, in any letter case, without the author. A paper's authors are one row's array, so its pairs come from that row; equal ones are combined before the shuffle."""
+    name = lambda x: F.lower(F.trim(x["author_name"]))
+    each = works.select("authors", F.explode("authors").alias("a"))
+    others = F.filter("authors", lambda o: (o["author_id"] != F.col("a.author_id")) & (name(o) != F.lower(F.trim("a.author_name"))))
+    pairs = each.select(F.col("a.author_id").alias("author_id"), F.explode(F.array_distinct(F.transform(others, name))).alias("other"))
+    return pairs.groupBy("author_id").agg(F.countDistinct("other").alias("n_coauthors"))
 
 
 def collaborators(works: DataFrame) -> DataFrame:
-    """How often two people of the directory publish together: faculty_a < faculty_b."""
-    refs = works.select("paper_id", F.explode(F.array_distinct(F.transform("iitd_authors", lambda x: F.lower(F.trim(x["faculty_ref"]))))).alias("f")).filter(F.col("f") != "")
-    return refs.withColumnRenamed("f", "faculty_a").join(refs.withColumnRenamed("f", "faculty_b"), "paper_id").filter("faculty_a < faculty_b").groupBy("faculty_a", "faculty_b").agg(F.count(F.lit(1)).alias("n_papers"))
+    """How often two people of the directory publish together: faculty_a < faculty_b. A paper's pairs come from its own array."""
+    refs = works.select(F.array_distinct(F.filter(F.transform("iitd_authors", lambda x: F.lower(F.trim(x["faculty_ref"]))), lambda f: f != "")).alias("refs"))
+    pairs = refs.select("refs", F.explode("refs").alias("faculty_a")).select("faculty_a", F.explode(F.filter("refs", lambda f: f > F.col("faculty_a"))).alias("faculty_b"))
+    return pairs.groupBy("faculty_a", "faculty_b").agg(F.count(F.lit(1)).alias("n_papers"))
 
 
 def year_histogram(works: DataFrame) -> DataFrame:

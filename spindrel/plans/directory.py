@@ -27,16 +27,31 @@ _FIRST = "list_filter({0}, lambda x: length(trim(x)) > 0)[1] AS {0}"
 _TAGS = "'all' || CASE category WHEN 'Department' THEN ',departments' WHEN 'School' THEN ',schools' WHEN 'Centre' THEN ',centres' WHEN 'Research Lab / Facility' THEN ',researchlabs' ELSE '' END"
 
 
-@query("grouped_directory", sql(PEOPLE, body="SELECT dept_id, unit_name, count(*) AS n_faculty, round(avg(h_index), 4) AS mean_h_index, string_agg(faculty_id, ',' ORDER BY coalesce(h_index, -1) DESC, faculty_id) AS faculty_ids FROM member GROUP BY ALL"))
+@query("grouped_directory", sql(PEOPLE, body="SELECT dept_id, unit_name, count(*) AS n_faculty, round_even(avg(h_index), 1) AS mean_h_index, string_agg(faculty_id, ',' ORDER BY coalesce(h_index, -1) DESC, faculty_id) AS faculty_ids FROM member GROUP BY ALL"))
 def _(r: Roles):
     return directory.grouped(r.people, r.departments)
 
 
-@query("grouped_directory_centres", sql(PEOPLE, body="SELECT dept_id, unit_name, count(*) AS n_faculty, round(avg(h_index), 4) AS mean_h_index, string_agg(faculty_id, ',' ORDER BY coalesce(h_index, -1) DESC, faculty_id) AS faculty_ids FROM member WHERE category = 'Centre' GROUP BY ALL"))
+@query("grouped_directory_centres", sql(PEOPLE, body="SELECT dept_id, unit_name, count(*) AS n_faculty, round_even(avg(h_index), 1) AS mean_h_index, string_agg(faculty_id, ',' ORDER BY coalesce(h_index, -1) DESC, faculty_id) AS faculty_ids FROM member WHERE category = 'Centre' GROUP BY ALL"))
 def _(r: Roles):
     return directory.grouped(r.people, r.departments, "centres")
 
 
+@query("grouped_directory_cards", sql(PEOPLE, body=f"SELECT dept_id, row_number() OVER (PARTITION BY dept_id ORDER BY coalesce(m.h_index, -1) DESC, faculty_id) AS place, faculty_id, full_name AS name, designation, {_SHOWN.replace('coalesce(h_index', 'coalesce(m.h_index').replace('coalesce(citation_count', 'coalesce(m.citation_count')} FROM member m"))
+def _(r: Roles):
+    return directory.grouped_cards(r.people, r.departments)
+
+
+@query("directory_totals", sql(PEOPLE, body="SELECT count(DISTINCT dept_id) AS n_units, count(*) AS n_memberships, count(DISTINCT faculty_id) AS n_faculty FROM member"))
+def _(r: Roles):
+    return directory.totals(r.people, r.departments)
+
+
+@query("units_in_order", "SELECT row_number() OVER (ORDER BY lower(name), name DESC) AS place, name FROM (SELECT DISTINCT name FROM departments) ORDER BY lower(name), name DESC LIMIT 40")
+def _(r: Roles):
+    return directory.units_in_order(r.departments, 40)
+
+
 @query("unit_summary", sql(PEOPLE, body=f"SELECT dept_id, unit_name, count(*) AS n_faculty, {_TAGS} AS tags FROM member GROUP BY ALL"))
 def _(r: Roles):
     return directory.unit_summary(r.people, r.departments)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import zipfile
 from functools import reduce
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,17 +37,58 @@ def header(name: str) -> str:
 
 
 def aliased(df: DataFrame, aliases: dict[str, tuple[str, ...]] = HEADERS) -> DataFrame:
-    """The wanted columns under their own names, found by alias in the order given; an error names the missing one."""
-    found = {header(c): c for c in reversed(df.columns)}
+    """The wanted columns under their own names: of each, the first column of the table whose header is any of its aliases; an error names the missing one."""
     out = []
     for wanted, names in aliases.items():
-        column = next((found[n] for n in names if n in found), None)
+        column = next((c for c in df.columns if header(c) in names), None)
         if column is None:
             raise ValueError(f"no column for {wanted} among {', '.join(df.columns)}")
         out.append(F.col(f"`{column}`").alias(wanted))
     return df.select(*out)
 
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The sheets of a workbook file (.xlsx) by name, all cells as text, the first row as header; empty cells are null. A workbook is a file of the office world that one machine reads: the driver parses it."""
+    with zipfile.ZipFile(path) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in item.iter(f"{_SHEET}t")) for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_SHEET}si")]
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        out = {}
+        for entry in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"):
+            target = targets[entry.get(_LINK)].lstrip("/")
+            rows = []
+            for row in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_SHEET}row"):
+                cells = {}
+                for k, c in enumerate(row.findall(f"{_SHEET}c")):
+                    letters = "".join(x for x in c.get("r", "") if x.isalpha())
+                    at = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) - 1 if letters else k
+                    value = c.findtext(f"{_SHEET}v")
+                    cells[at] = shared[int(value)] if c.get("t") == "s" and value is not None else "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if c.get("t") == "inlineStr" else value
+                rows.append(cells)
+            if rows:
+                names = [(k, v) for k, v in sorted(rows[0].items()) if v]
+                schema = StructType([StructField(v, StringType()) for _, v in names])
+                out[entry.get("name")] = spark.createDataFrame([tuple(r.get(k) for k, _ in names) for r in rows[1:]], schema)
+    return out
+
+
+def names_by_department(sheet: DataFrame, department: str, name: str) -> DataFrame:
+    """The people a sheet lists per department: department, names in order of the alphabet, each once; blank cells are none."""
+    rows = sheet.select(strip(F.col(department)).alias("department"), strip(F.col(name)).alias("name")).filter("department <> '' AND name <> ''")
+    return rows.groupBy("department").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def fetched_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored profiles (one JSON file each) as papers: scholar_id, title, year, citations. A file that is no profile, or has an error, is as if it had not been fetched."""
+    rows = json_folder(spark, folder, PROFILE).filter(F.col("scholarId").isNotNull() & F.col("papers").isNotNull())
+    return rows.select(F.col("scholarId").alias("scholar_id"), F.explode("papers").alias("p")).select("scholar_id", "p.title", "p.year", "p.citations")
+
+
 def sheets(tables: dict[str, DataFrame], required: list[str]) -> DataFrame:
     """Sheets of a workbook (already tables) under one another by column name, with the sheet's name; missing cells are ''. A sheet without a required column is an error."""
     for name, df in tables.items():

@@ -63,3 +63,21 @@ def collect_garbage(spark: SparkSession, root: str, names: list[str], keep: int
             fs, p, _ = _fs(spark, path)
             fs.delete(p, True)
     return gone
+
+
+def person_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One JSON document per person's graph: faculty_id, n_nodes, payload. What is gathered is bounded by one person's papers."""
+    n = nodes.groupBy("faculty_id").agg(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("id"), "kind"))).alias("nodes"))
+    e = edges.groupBy("faculty_id").agg(F.array_sort(F.collect_list(F.struct("source", "target", "label"))).alias("links"))
+    return n.join(e, "faculty_id", "left").select("faculty_id", F.size("nodes").alias("n_nodes"), F.to_json(F.struct("nodes", "links")).alias("payload"))
+
+
+def write_documents(documents: DataFrame, key: str, root: str) -> None:
+    """One folder per document below root, and an index of all keys beside them."""
+    documents.select(key, "payload").write.mode("overwrite").partitionBy(key).text(f"{root}/documents")
+    documents.drop("payload").write.mode("overwrite").json(f"{root}/index")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A table as JSON lines, replacing what was there: explorer terms, reports, statistics."""
+    rows.write.mode("overwrite").json(path)

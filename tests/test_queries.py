@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from spindrel.plans import atlas, directory, orphans, serve
+from spindrel.plans import atlas, catalog, directory, orphans, serve
 
 DATA = "/root/testdata/sf0.001"
-CORE = {**orphans.QUERIES, **directory.QUERIES, **atlas.QUERIES, **serve.QUERIES}
-CORE_SQL = {**orphans.SQL, **directory.SQL, **atlas.SQL, **serve.SQL}
+CORE = {**orphans.QUERIES, **directory.QUERIES, **atlas.QUERIES, **serve.QUERIES, **catalog.QUERIES}
+CORE_SQL = {**orphans.SQL, **directory.SQL, **atlas.SQL, **serve.SQL, **catalog.SQL}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
