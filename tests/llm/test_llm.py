@@ -116,7 +116,7 @@ def test_same_person(spark):
 
 
 def test_crowded_units_are_compared_whole(spark):
-    rows = [(f"x{i:03d}", pii_sample._word(random.Random(i), 3, 4).lower() + chr(97 + i % 26) * 3, "gruvava", "u") for i in range(210)]
+    rows = [(f"x{i:03d}", pii_sample.word(random.Random(i), 3, 4).lower() + chr(97 + i % 26) * 3, "gruvava", "u") for i in range(210)]
     rows += [("y1", "hokrerman", "gruvava", "u"), ("y2", "hokrerman p", "gruvava", "u")]
     people = spark.createDataFrame(rows, "faculty_id string, first string, last string, unit string")
     links = spark.createDataFrame([], "author_id string, faculty_id string")
@@ -167,10 +167,10 @@ def test_marks(title, kind):
 
 def test_match_works(spark):
     r = random.Random(4)
-    adjectives, things, ways = ([pii_sample._word(r, 2, 3) for _ in range(n)] for n in (30, 30, 30))
+    adjectives, things, ways = ([pii_sample.word(r, 2, 3) for _ in range(n)] for n in (30, 30, 30))
     works = []
     for i in range(400):
-        coin = pii_sample._word(r, 3, 3).capitalize()
+        coin = pii_sample.word(r, 3, 3).capitalize()
         works.append((f"p{i:04d}", f"{r.choice(ways).capitalize()} limits of {r.choice(adjectives)} {r.choice(things)} layers in arid plants (the {coin} study)", 2000 + i % 20, ["Ana Lutrim"], ["soil"]))
     title = works[7][1]
     works += [("q1", title.upper(), 2007, ["Ana Lutrim"], ["soil"]), ("q2", title, 1990, ["Bo Kesh"], ["air"]), ("q3", title + ": Part II", 2008, None, None), ("n1", None, 2000, None, None), ("n2", "…", 2000, None, None)]
@@ -282,7 +282,7 @@ def test_fm_index():
 
 def test_matches(spark):
     r = random.Random(9)
-    vocabulary = [pii_sample._word(r) for _ in range(30)]
+    vocabulary = [pii_sample.word(r) for _ in range(30)]
     item = lambda n: " ".join(r.choices(vocabulary, k=n))
     items = [(i, item(r.choice([11, 20, 40]))) for i in range(20)] + [(99, None)]
     docs = []
