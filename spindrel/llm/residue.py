@@ -119,7 +119,9 @@ def system_share(passage: str) -> tuple[float, bool]:
     status = len(STATUS.findall(passage))
     fault += status
     said = subject + fault + order
-    return said / max(1, said + own), said >= 2 and (fault > 0 or (order > 0 and subject > 0))
+    share = said / max(1, said + own)
+    # what is said beside other things must ask for more than one thing
+    return share, said >= 2 and (fault > 0 or (subject > 0 and order > (share < ALONE)))
 
 
 def _about(sentence: str) -> bool:
