@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +55,9 @@ def cut(df: DataFrame, rounds: bool = False) -> DataFrame:
     if not rounds:
         return done
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints that no frame refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
