@@ -176,7 +176,7 @@ class Model:
     """The fitted trees, the weights of context words, and the thresholds per type."""
 
     def __init__(self) -> None:
-        self.trees = Trees()
+        self.trees = Trees(rounds=90)
         self.common: frozenset[str] = frozenset()
         self.codes: dict[str, int] = {}
         self.context: list[tuple[np.ndarray, np.ndarray]] = []

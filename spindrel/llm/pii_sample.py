@@ -15,15 +15,15 @@ TYPES = ("name", "email", "phone", "id_number", "address")
 # ---- frames: {} is the item, {t} a title, {w} a word, {d} a number, {X} a coined capitalised word ----
 FIT = {
     "name": [
-        "hello, my name is {} and I teach {w}", "this is {} from the {w} office", "best regards, {}", "kind regards\n{}", "many thanks, {}", "sincerely yours, {}", "sincerely, {}", "yours truly\n{}", "best wishes, {}", "cheers, {}", "warm wishes\n{}",
+        "hello, my name is {} and I teach {w}", "this is {} from the {w} office", "best regards, {}", "kind regards\n{}", "many thanks, {}", "thanks\n{}", "with regards\n{}", "respectfully, {}", "regards and thanks, {}", "best, {}", "all the best, {}", "cheers\n{}", "yours sincerely\n{}", "sincerely and with thanks, {}", "warm regards, {}", "regards from {}", "speak with {t} {}", "{t} {} teaches this course", "write to {t} {} on {day}", "please see {t} {} about this", "my full name is {}", "my name is {} by the way", "cc my tutor {}", "cc {t} {}", "sincerely yours, {}", "sincerely, {}", "yours truly\n{}", "best wishes, {}", "cheers, {}", "warm wishes\n{}",
         "I am {}, a second year student", "I'm {} and I cannot log in", "ask {t} {} for the key", "we asked {t} {} about the {w} and got no answer", "the lecture of {t} {} was cancelled", "the talk by {t} {} starts late", "talk to {t} {} first", "meet {t} {} on {day}", "cc: {}", "cc {} and the {w} list", "please copy {} on this",
         "written together with {}", "a paper with {} is missing", "co-written with {} in {y}", "the homepage of {} is empty", "the entry of {t} {} shows the wrong {w}", "signed: {}", "signed by {}", "dear {},", "hi {}, the {w} is gone", "the thesis was guided by {t} {} until {y}", "my advisor is {t} {}", "advised by {t} {} for years", "please contact {t} {} if in doubt",
         "{} here", "{} and {t} {} both complained", "{t} {} and {} agreed", "as {} pointed out, the {w} is wrong", "{} wrote this last {month}", "this is {} and I have a question", "this is {} from {X}", "this is {}", "guided by {t} {} in {y}", "the {w} was made by {t} {} alone", "according to {}, it is fixed", "reported by {}", "my colleague {} found it", "you may tell {} that it works", "greetings from {}", "thank you, {}", "yours, {}\n", "my name: {}", "name: {}", "{t} {} lists the wrong {w} on the page",
-        "I work with {} every {day}", "the student {} sent me the form", "forwarded for {}", "{} is listed twice", "why is {} missing from the {w}?", "{} has left the institute", "reach {} at the {w} desk", "{} at {X} knows more", "find {} at the library", "this is {} speaking", "this is {} again",
+        "I work with {} every {day}", "the student {} sent me the form", "forwarded for {}", "{} is listed twice", "why is {} missing from the {w}?", "{} has left the institute", "reach {} at the {w} desk", "{} at {X} knows more", "find {} at the library", "write {} at the {w} office", "ask {} at {X} about it", "ping {} if it breaks", "this is {} speaking", "this is {} again",
     ],
-    "email": ["my e-mail is {}", "e-mail: {}", "mail: {}", "write to {} please", "you can reach me at {}", "drop a line to {}", "reply to {}", "the address {} does not work", "messages to {} come back", "send the {w} to {}", "contact: {}", "({})", "<{}>", "cc {}", "my account is {}", "I used {} to sign up", "email me on {}", "use {} instead of the old one", "{} is my new address", "mail to {} bounced"],
-    "phone": ["call me on {}", "my phone is {}", "phone {}", "tel. {}", "telephone: {}", "mobile: {}", "my mobile number is {}", "reach me at {}", "the desk line {} rings out", "fax: {}", "ring {} before noon", "text {} any time", "dial {} and ask for the {w} desk", "WhatsApp {}", "cell {}", "{} is my direct line", "the number {} is not in service", "please phone {} tomorrow", "our hotline is {}", "contact number {}", "the number {} was busy", "my old number {} is gone", "the fax {} is dead", "the number to call is {}", "you may call {} after five", "office {}"],
-    "id_number": ["my passport number is {}", "passport {}", "passport no. {}", "national id {}", "identity number {}", "id card: {}", "the tax id is {}", "tax number: {}", "SSN {}", "social security number {}", "licence no. {}", "my driving licence {} has run out", "the card {} was issued in {y}", "PAN {}", "I signed up with identity card {}", "enrolment under id {}", "the form wants my id number, it is {}", "voter id {}", "the passport {} is in your system", "my tax number {} was typed in wrong", "id number {} is shown to all", "the tax id {} has to go", "card {} was lost", "the permit number {} ended in {y}", "you hold my licence {} since {y}", "insurance number {}", "registered as {} at the tax office", "enrolled with {}", "I am enrolled as {}", "registered under {}", "signed up under {}", "residence permit {}"],
+    "email": ["my e-mail is {}", "e-mail: {}", "mail: {}", "write to {} please", "you can reach me at {}", "drop a line to {}", "reply to {}", "the address {} does not work", "messages to {} come back", "send the {w} to {}", "contact: {}", "({})", "<{}>", "cc {}", "my account is {}", "I used {} to sign up", "email me on {}", "use {} instead of the old one", "{} is my new address", "mail to {} bounced", "the {} account is closed", "the {} inbox overflows", "{} and {} are both mine", "either {} or {}"],
+    "phone": ["call me on {}", "my phone is {}", "phone {}", "tel. {}", "telephone: {}", "mobile: {}", "my mobile number is {}", "reach me at {}", "the desk line {} rings out", "fax: {}", "ring {} before noon", "text {} any time", "dial {} and ask for the {w} desk", "WhatsApp {}", "cell {}", "{} is my direct line", "the number {} is not in service", "please phone {} tomorrow", "our hotline is {}", "contact number {}", "call {} or {}", "use {} from now on", "try {} instead", "{} or {} in the evening", "not that one, take {}", "{}, ask for the {w} desk", "the number {} was busy", "my old number {} is gone", "the fax {} is dead", "the number to call is {}", "you may call {} after five", "office {}"],
+    "id_number": ["my passport number is {}", "passport {}", "passport no. {}", "national id {}", "identity number {}", "id card: {}", "the tax id is {}", "tax number: {}", "SSN {}", "social security number {}", "licence no. {}", "my driving licence {} has run out", "the card {} was issued in {y}", "PAN {}", "I signed up with identity card {}", "enrolment under id {}", "the form wants my id number, it is {}", "voter id {}", "{} should not be public", "{} belongs to me", "the number {} is on my card", "who put {} there", "hide {} from my page", "remove {} please", "the passport {} is in your system", "my tax number {} was typed in wrong", "id number {} is shown to all", "the tax id {} has to go", "card {} was lost", "the permit number {} ended in {y}", "you hold my licence {} since {y}", "insurance number {}", "registered as {} at the tax office", "enrolled with {}", "I am enrolled as {}", "registered under {}", "signed up under {}", "residence permit {}"],
     "address": ["I stay at {}", "my address is {}", "address: {}", "please post it to {}", "deliver to {}", "my flat is at {}", "we live at {}", "send the parcel to {}", "the new office is at {}", "our lab moved to {}", "home: {}", "mail the card to {}", "she lives at {}", "the letter went to {}", "find us at {}", "come to {}", "my residence is {}", "billing address {}", "shipped to {}", "my family lives at {}"],
 }
 HELD = {
@@ -40,7 +40,7 @@ PLAIN = [
     "the {w} chart adds up to {d} percent", "sort by {w} is broken", "filter {w} and {w} together fails", "search '{w} {w}' finds nothing", "a search for {w} {w} finds {d} entries", "The search box ignores {w}", "@{x}_team has no feed", "see @{x} for news", "follow @{x}_{w} instead", "page {d} of {d} is blank", "section {d}.{d} is out of date", "the {X} report of {y} is missing", "figure {d} in the {X} guide is wrong", "version {d}.{d}.{d} crashes", "It takes {d} seconds to open the {w} tab",
     "{day} is a holiday", "On {day} and {day} it works", "the {month} issue is late", "{month} {y} shows zero", "Great site", "It would be good to have a {w} mode", "Zoom level {d} is blurry", "the index of {d} should read {d}", "Why are there {d} entries for {w}?", "The {w} of {w} is unclear", "The {X} {w} workshop begins at {d}", "CO2 and H2 share a colour", "Is there an API for {w}?", "The map shows {X} Road twice", "{X} Street is closed", "University of {X} is missing", "the {X} Institute is listed under {w}", "temperature of {d} degrees in the {X} room", "I waited {d} minutes", "build {n6} of {X} fails",
     "The dump of {date} is incomplete", "updated on {date}", "valid until {date}", "{date} was a holiday", "the log from {date} to {date} is empty", "Last seen {date}", "deadline: {date}", "old data ({date})", "as of {date} the {w} is {d}", "nothing new since {date}", "the {w} score {d} must be {d}", "level {d} is too deep", "my {w} is {d}, not {d}", "up to level {d} - then it stops", "a {w} of {d} is wrong, it is {d}", "version {d}.{d}.{d} of {X} is buggy", "v{d}.{d} and v{d}.{d}.{d} differ", "step {d} of {d} - {w} fails", "{d} - {d} = {d}",
-    "The link to {X} is dead", "students in {X} can not log in", "moved from {X} to {X} in {y}", "{X} is on the wrong side of the map", "it shows {X} instead of {X}", "{X} University changed its name", "the phone app is slow", "the address bar jumps", "no email was sent", "name sorting is off", "numbers like {n6} look odd", "scores {i4} and {i4} are equal", "the id column is hidden", "please call it {w} instead", "thanks for the {w} view", "the contact page is empty", "my page lists {d} items", "with {d} tabs open it stops", "by {y} it was gone", "Sorted by {w}, {y} comes before {y}", "Dear team, the {w} is gone", "the {w} network drops near {X} Hall", "it ran on the {X} cluster",
+    "The link to {X} is dead", "{d} results", "it gives {d} results", "shows {d} {w} and {d} {w}", "0 {w} found", "only {d} hits for {w} {w}", "gives 0 entries", "there are {d} rows", "{d} users and {d} guests", "I see {d} {w} pages", "students in {X} can not log in", "moved from {X} to {X} in {y}", "{X} is on the wrong side of the map", "it shows {X} instead of {X}", "{X} University changed its name", "the phone app is slow", "the address bar jumps", "no email was sent", "name sorting is off", "numbers like {n6} look odd", "scores {i4} and {i4} are equal", "the id column is hidden", "please call it {w} instead", "thanks for the {w} view", "the contact page is empty", "my page lists {d} items", "with {d} tabs open it stops", "by {y} it was gone", "Sorted by {w}, {y} comes before {y}", "Dear team, the {w} is gone", "the {w} network drops near {X} Hall", "it ran on the {X} cluster",
 ]
 # ---- things with a coined name: what may stand before, what they are, and what is said of them ----
 _LEAD = ["the {X} {N} {P}", "The {X} {N} {P}", "a {X} {N} {P}", "in the {X} {N} {w} {P}", "at {X} {N} the {w} {P}", "{X} {N} {P}", "our {X} {N} {P}", "near {X} {N} it {P}", "the {w} of {X} {N} {P}", "the {w} of the {X} {N} {P}", "a {w} to {X} {N} {P}", "room {d} of {X} {N} {P}", "Room {d} in the {X} {N} {P}", "on the {X} {N} nothing {P}", "The {w} of {X} {P}", "the {w} about {X} {P}", "with {X} the {w} {P}", "from {X} the {w} {P}"]
