@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import fold, fold_each
 from ..operators.skew import salted_lookup
+from ..session import cut
 
 NULL = "\x00"
 
@@ -34,6 +35,14 @@ class Exact:
     column: str
 
 
+@dataclass
+class Folded:
+    """A text column that holds the letters and digits of a Text already; with `bag`, an array of them in any order."""
+
+    column: str
+    bag: bool = False
+
+
 @dataclass
 class TextBag:
     """An array column of texts in any order, each normalised as Text."""
@@ -56,16 +65,36 @@ def _sealed(tag: str, value: Column) -> Column:
     return F.concat(F.lit(tag), F.coalesce(value, F.lit(NULL)))
 
 
+def folded_once(tree, taken: list[Column]):
+    """The tree over columns folded beforehand, which are added to `taken`; so no text is folded twice for form and digest."""
+    if isinstance(tree, (Text, TextBag)):
+        name, bag = f"_leaf{len(taken)}", isinstance(tree, TextBag)
+        column = F.col(tree.column) if isinstance(tree.column, str) else tree.column
+        taken.append((fold_each(column) if bag else fold(column)).alias(name))
+        return Folded(name, bag)
+    if isinstance(tree, Exact):
+        name = f"_leaf{len(taken)}"
+        taken.append(F.col(tree.column).cast("string").alias(name))
+        return Exact(name)
+    return type(tree)([folded_once(x, taken) for x in tree.children])
+
+
+def keyed_rows(rows: DataFrame, key: str, tree) -> DataFrame:
+    """_key, _root (the digest of the tree) and _form (its canonical form) of every row with a key."""
+    taken: list[Column] = []
+    own = folded_once(tree, taken)
+    return rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *taken).select("_key", _digest(own).alias("_root"), _form(own).alias("_form"))
+
+
 def _form(node) -> Column:
     """The canonical form of a node, readable text whose parts are length-prefixed so that it can't be ambiguous."""
     prefixed = lambda c: F.concat(F.length(c).cast("string"), F.lit(":"), c)
-    if isinstance(node, Text):
-        return _sealed("t", fold(F.col(node.column)))
     if isinstance(node, Exact):
-        return _sealed("e", F.col(node.column).cast("string"))
-    if isinstance(node, TextBag):
-        values = F.col(node.column) if isinstance(node.column, str) else node.column
-        items = F.transform(F.coalesce(fold_each(values), F.array()), lambda x: prefixed(_sealed("t", x)))
+        return _sealed("e", F.col(node.column))
+    if isinstance(node, Folded) and not node.bag:
+        return _sealed("t", F.col(node.column))
+    if isinstance(node, Folded):
+        items = F.transform(F.coalesce(node.column, F.array().cast("array<string>")), lambda x: prefixed(_sealed("t", x)))
         return F.concat(F.lit("b"), F.array_join(F.array_sort(items), ""))
     forms = F.array(*[prefixed(_form(x)) for x in node.children])
     return F.concat(F.lit("o"), F.array_join(forms, "")) if isinstance(node, Ordered) else F.concat(F.lit("u"), F.array_join(F.array_sort(forms), ""))
@@ -73,11 +102,10 @@ def _form(node) -> Column:
 
 def _digest(node) -> Column:
     """Digest of a node from the digests of its children."""
-    if isinstance(node, (Text, Exact)):
+    if isinstance(node, Exact) or (isinstance(node, Folded) and not node.bag):
         return F.md5(_form(node))
-    if isinstance(node, TextBag):
-        values = F.col(node.column) if isinstance(node.column, str) else node.column
-        leaves = F.transform(F.coalesce(fold_each(values), F.array()), lambda x: F.md5(_sealed("t", x)))
+    if isinstance(node, Folded):
+        leaves = F.transform(F.coalesce(node.column, F.array().cast("array<string>")), lambda x: F.md5(_sealed("t", x)))
         return F.md5(F.concat(F.lit("b"), F.array_join(F.array_sort(leaves), "")))
     below = F.array(*[_digest(x) for x in node.children])
     return F.md5(F.concat(F.lit("o" if isinstance(node, Ordered) else "u"), F.array_join(below if isinstance(node, Ordered) else F.array_sort(below), "")))
@@ -96,13 +124,13 @@ def copies(rows: DataFrame, key: str, tree) -> DataFrame:
     side; the rows of larger classes are compared by canonical form through a
     salted lookup of the class's first row.
     """
-    keyed = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), _digest(tree).alias("_root"), _form(tree).alias("_form"))
-    classes = keyed.groupBy("_root").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).filter(F.col("_a") < F.col("_b")).select("_root")
-    shared = salted_lookup(keyed, classes, ["_root"], "_key")
+    keyed = keyed_rows(rows, key, tree)
+    classes = cut(keyed.groupBy("_root").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.count(F.lit(1)).alias("_n")).filter(F.col("_a") < F.col("_b")).select("_root", "_n"))
+    shared = cut(salted_lookup(keyed, classes.select("_root"), ["_root"], "_key", counts=classes))
     # the full comparison: rows of one digest but another form are another class
-    first = shared.groupBy("_root", "_form").agg(F.min("_key").alias("first"), F.max("_key").alias("_b")).filter(F.col("first") < F.col("_b")).drop("_b")
+    first = shared.groupBy("_root", "_form").agg(F.min("_key").alias("first"), F.max("_key").alias("_b"), F.count(F.lit(1)).alias("_n")).filter(F.col("first") < F.col("_b")).drop("_b")
     return (
-        salted_lookup(shared, first, ["_root", "_form"], "_key")
+        salted_lookup(shared, first.drop("_n"), ["_root", "_form"], "_key", counts=first.select("_root", "_form", "_n"))
         .filter(F.col("_key") != F.col("first"))
         .select("first", F.col("_key").alias("copy"))
         .distinct()
@@ -111,5 +139,5 @@ def copies(rows: DataFrame, key: str, tree) -> DataFrame:
 
 def collapsed(rows: DataFrame, key: str, tree) -> DataFrame:
     """One record per class with its number of copies: (first, n_copies), classes of one included; keys count once."""
-    keyed = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), _digest(tree).alias("_root"), _form(tree).alias("_form")).distinct()
+    keyed = keyed_rows(rows, key, tree).distinct()
     return keyed.groupBy("_root", "_form").agg(F.min("_key").alias("first"), F.count(F.lit(1)).alias("n_copies")).select("first", "n_copies")

@@ -58,10 +58,14 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float | None = No
     )
 
 
-# ---- fixed values: words that say what kind of unit it is ----
-KIND_WORDS = frozenset(
-    "department departments dept deptt depts depa school schools scho centre center centres cent laboratory laboratories labs lab labo rese research facility unit group division section office institute do d o of for the and in at".split()
-)
+# ---- fixed values: words that say what kind of unit it is, and words of form ----
+KINDS = ("department", "school", "centre", "center", "laboratory", "laboratories", "research", "facility", "unit", "group", "division", "section", "office")
+SHORT_FORMS = frozenset("institute institutes dept deptt depts departments schools centres centers lab labs do d o of for the and in at".split())
+
+
+def says_kind(word: str) -> bool:
+    """A word for a kind of unit, or one cut short after four letters or more."""
+    return word in SHORT_FORMS or word in KINDS or (len(word) >= 4 and any(k.startswith(word) for k in KINDS))
 
 
 def plain(text: str) -> str:
@@ -96,7 +100,7 @@ def views(text: str | None) -> list[tuple[str, list[str]]]:
     low = re.sub(r"\b(?:[a-z]\.){2,}[a-z]?\b\.?", lambda m: m.group().replace(".", "") + " ", low)  # p.l.d. is pld
     low = re.sub(r"\bd/o\b", " ", low)
     parts = re.findall(r"[a-z]+|\d+", low)
-    core = [w for w in parts if not w.isdigit() and w not in KIND_WORDS]
+    core = [w for w in parts if not w.isdigit() and not says_kind(w)]
     out = []
     inside = re.search(r"\(([a-z]{2,5})\)", low)
     lead = re.match(r"\s*([a-z]{2,5})\s+[-–—:|]\s+\w", low)
@@ -146,13 +150,8 @@ def map_to_canonical(typed: DataFrame, canonical: DataFrame, least: dict[str, fl
     # a code counts as certain only where the name does not speak for another record
     score = F.when(F.col("view") == "code", F.lit(0.85)).when(F.col("view") == "stem", F.col("jaccard") * 0.95).when(F.col("view") == "letters", F.col("jaccard") * 0.8).otherwise(F.col("jaccard"))
     ranked = found.groupBy(F.col("left_id").alias("value"), "right_id").agg(F.max(score).alias("score"), F.sum(score).alias("total"))
-    best = (
-        ranked.groupBy("value")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col("total")).alias("t"), F.col("right_id").alias("id")))).alias("c"))
-        .select(
-            "value",
-            F.when((F.size("c") > 1) & (F.col("c")[0]["s"] == F.get("c", F.lit(1))["s"]) & (F.col("c")[0]["t"] == F.get("c", F.lit(1))["t"]), F.lit("")).otherwise(F.col("c")[0]["id"]).alias("canonical_id"),
-            (-F.col("c")[0]["s"]).alias("score"),
-        )
-    )
+    # the best with the smallest and with the largest id differ where several are equally good
+    up, down = F.max(F.struct("score", "total", "right_id")), F.min(F.struct((-F.col("score")).alias("s"), (-F.col("total")).alias("t"), "right_id"))
+    best = ranked.groupBy("value").agg(up.alias("up"), down.alias("down"))
+    best = best.select("value", F.when(F.col("up.right_id") == F.col("down.right_id"), F.col("up.right_id")).otherwise(F.lit("")).alias("canonical_id"), F.col("up.score").alias("score"))
     return salted_lookup(rows, best, ["value"], "row_key", "left").select("row_key", "value", F.coalesce("canonical_id", F.lit("")).alias("canonical_id"), "score")
