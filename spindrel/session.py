@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +60,19 @@ def cut(df: DataFrame, rounds: bool = False) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """A table of the frame's rows in the shared folder for the time of a `with` block: columns are packed, and what is read of it is pruned; it is removed at the end, so whatever uses it must be settled by then."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files and checkpoints that no frame refers to any more; else they stay until the driver happens to collect its garbage."""
     gc.collect()
