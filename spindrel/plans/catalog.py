@@ -192,15 +192,6 @@ def _(r: Roles):
     return catalog.since(r.points, 2020, 2026)
 
 
-_ASKED = "CAST(len(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}-]+'), lambda t: t IN ('membrane', 'soil'))) AS INTEGER)"
-_TEXT_HITS = f"SELECT paper_id, title, 10 * {_ASKED.format('title')} + {_ASKED.format('abstract')} AS score FROM pap"
-
-
-@query("papers_by_text", sql(WORKS, body=f"SELECT i, paper_id, title, score FROM (SELECT * FROM ({_TEXT_HITS}) WHERE score > 0 ORDER BY score DESC, paper_id LIMIT 500) JOIN place USING (paper_id)"))
-def _(r: Roles):
-    return search.paper_hits(r.works.select("paper_id", "title", "abstract"), r.places, "membrane soil")
-
-
 @query("related_topics", sql(WORKS, _POINT, body="SELECT topic, count(*) AS n_papers FROM (SELECT i, topic FROM pt WHERE contains(lower(title), 'alloy') ORDER BY i LIMIT 800) WHERE topic <> '' GROUP BY ALL ORDER BY n_papers DESC, topic LIMIT 8"))
 def _(r: Roles):
     first = r.points.filter(catalog.holds(F.col("title"), "alloy")).orderBy("i").limit(800)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import directory, graph, search, serve
 from ..operators.identity import with_unit
-from .atlas import _CELLS, _G, _HOLDS, _POINT, _UNIT_POINT, _placed
+from .atlas import _CELLS, _G, _HOLDS, _PHRASES, _POINT, _UNIT_POINT, _placed
 from .directory import _CARD
 from .roles import OWNED, PEOPLE, WORKS, Roles, sql
 
@@ -71,7 +71,7 @@ def _(r: Roles):
     return serve.wire(directory.cards(with_unit(r.people, r.departments)), ["h_index", "citation_count"])
 
 
-@query("paper_catalogue_json")
+@query("paper_catalogue_json", sql(WORKS, body="SELECT paper_id, to_json({'citations': coalesce(citation_count, 0), 'domain': domain, 'paper_id': paper_id, 'theme': theme, 'title': title, 'topic': topic})::VARCHAR AS payload FROM lab"))
 def _(r: Roles):
     return serve.json_lines(r.labelled_works.select("paper_id", "title", "theme", "domain", "topic", F.coalesce("citation_count", F.lit(0)).alias("citations")), "paper_id")
 
@@ -82,12 +82,24 @@ def _(r: Roles):
     return serve.coordinates(_placed(r).select("i", "paper_id", "theme", "domain", "x", "y", "z"), wanted)
 
 
-@query("suggestions")
+_ASKED = "CAST(len(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}-]+'), lambda t: t = 'comp')) AS INTEGER)"
+_OFFERS = f"""SELECT 'keyword' AS kind, term AS text, n FROM (SELECT term, count(*) AS n FROM (SELECT a AS term FROM g UNION ALL SELECT a || ' ' || b FROM g WHERE gb UNION ALL SELECT a || ' ' || b || ' ' || c FROM g WHERE gb AND gc) GROUP BY ALL ORDER BY n DESC, length(term), term LIMIT 8)
+UNION ALL SELECT 'theme', theme, n FROM (SELECT theme, count(*) AS n FROM pt WHERE contains(lower(title), 'comp') AND theme <> '' GROUP BY ALL ORDER BY n DESC, theme LIMIT 8)
+UNION ALL SELECT 'term', term, n_papers FROM (SELECT * FROM (SELECT type, term, CAST(sum(n_papers) AS BIGINT) AS n_papers FROM cells GROUP BY ALL) {_rank('term', 'comp', 'n_papers', 8)})
+UNION ALL SELECT 'unit', unit_name, n FROM (SELECT * FROM (SELECT dept_id, unit_name, count(*) AS n FROM member GROUP BY ALL) {_rank('unit_name', 'comp', 'n', 8)})
+UNION ALL SELECT 'person', name, n FROM (SELECT * FROM (SELECT full_name AS name, h_index AS n FROM fac) {_rank('name', 'comp', 'n', 8)})
+UNION ALL SELECT 'paper', title, score FROM (SELECT paper_id, title, score FROM (SELECT paper_id, title, 10 * {_ASKED.format('title')} + {_ASKED.format('abstract')} AS score FROM pap) WHERE score > 0 ORDER BY score DESC, paper_id LIMIT 8)"""
+
+
+@query("suggestions", sql(*_G, _CELLS, _POINT, _PHRASES.replace("'mem'", "'comp'"), body=_OFFERS))
 def _(r: Roles):
     terms = graph.explore_terms(graph.term_cells(r.owned, r.labelled_works, r.homes))
     return serve.suggestions(r.points, terms, directory.unit_summary(r.people, r.departments), r.people, "comp", papers=r.works.select("paper_id", "title", "abstract"))
 
 
-@query("paper_text_search")
+_TEXT = "SELECT i, paper_id, title, score FROM (SELECT * FROM (SELECT paper_id, title, 10 * {0} + {1} AS score FROM pap) WHERE score > 0 ORDER BY score DESC, paper_id LIMIT 500) JOIN place USING (paper_id)".format(*(_ASKED.format(c).replace("t = 'comp'", "t IN ('membrane', 'soil')") for c in ("title", "abstract")))
+
+
+@query("paper_text_search", sql(WORKS, body=_TEXT))
 def _(r: Roles):
     return search.paper_hits(r.works.select("paper_id", "title", "abstract"), r.places, "membrane soil")
