@@ -83,7 +83,7 @@ def _(r: Roles):
 
 
 _ASKED = "CAST(len(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}-]+'), lambda t: t = 'comp')) AS INTEGER)"
-_OFFERS = f"""SELECT 'keyword' AS kind, term AS text, n FROM (SELECT term, count(*) AS n FROM (SELECT a AS term FROM g UNION ALL SELECT a || ' ' || b FROM g WHERE gb UNION ALL SELECT a || ' ' || b || ' ' || c FROM g WHERE gb AND gc) GROUP BY ALL ORDER BY n DESC, length(term), term LIMIT 8)
+_OFFERS = f"""SELECT 'keyword' AS kind, term AS text, n FROM (SELECT * FROM (SELECT term, count(*) AS n FROM (SELECT a AS term FROM g UNION ALL SELECT a || ' ' || b FROM g WHERE gb UNION ALL SELECT a || ' ' || b || ' ' || c FROM g WHERE gb AND gc) GROUP BY ALL) ORDER BY n DESC, length(term), term LIMIT 8)
 UNION ALL SELECT 'theme', theme, n FROM (SELECT theme, count(*) AS n FROM pt WHERE contains(lower(title), 'comp') AND theme <> '' GROUP BY ALL ORDER BY n DESC, theme LIMIT 8)
 UNION ALL SELECT 'term', term, n_papers FROM (SELECT * FROM (SELECT type, term, CAST(sum(n_papers) AS BIGINT) AS n_papers FROM cells GROUP BY ALL) {_rank('term', 'comp', 'n_papers', 8)})
 UNION ALL SELECT 'unit', unit_name, n FROM (SELECT * FROM (SELECT dept_id, unit_name, count(*) AS n FROM member GROUP BY ALL) {_rank('unit_name', 'comp', 'n', 8)})
