@@ -80,20 +80,21 @@ def list_terms(terms: DataFrame, query: str = "", kind: str = "", limit: int = 4
 def positions(works: DataFrame) -> DataFrame:
     """A dense position from 0 in the order of paper_id: i, paper_id.
 
-    Rows are range-partitioned and counted per partition; only the counts (one per
-    partition) go through the driver, so no task sees more than its own range.
+    Rows are range-partitioned and numbered within their partition; only the sizes
+    (one per partition) go through the driver and come back as a small table, so no
+    task sees more than its own range.
     """
+    spark = works.sparkSession
     ids = cut(works.select("paper_id").repartitionByRange("paper_id").sortWithinPartitions("paper_id").withColumn("part", F.spark_partition_id()))
     sizes = sorted((r["part"], r["count"]) for r in ids.groupBy("part").count().collect())
-    start, offsets = 0, []
+    starts, start = [], 0
     for part, n in sizes:
-        offsets.append((part, start))
+        starts.append((part, start))
         start += n
-    if not offsets:
-        return ids.select(F.lit(0).cast("bigint").alias("i"), "paper_id")
-    table = F.create_map(*[F.lit(x) for p in offsets for x in p])
+    table = spark.createDataFrame(starts, "part int, start bigint")
     w = Window.partitionBy("part").orderBy("paper_id")
-    return ids.select((table[F.col("part")] + F.row_number().over(w) - 1).cast("bigint").alias("i"), "paper_id")
+    numbered = ids.withColumn("k", F.row_number().over(w))
+    return numbered.join(F.broadcast(table), "part").select((F.col("start") + F.col("k") - 1).cast("bigint").alias("i"), "paper_id")
 
 
 def indices_of(owned: DataFrame, places: DataFrame, key: str) -> DataFrame:

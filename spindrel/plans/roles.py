@@ -25,23 +25,23 @@ class Roles:
     def departments(self) -> DataFrame:
         return self.t("departments")
 
-    @property
+    @cached_property
     def people(self) -> DataFrame:
         return identity.people(self.t("faculty"))
 
-    @property
+    @cached_property
     def works(self) -> DataFrame:
         return identity.works(self.t("researchmetadatascopus"))
 
-    @property
+    @cached_property
     def labelled_works(self) -> DataFrame:
         return identity.label_names(self.works, self.t("themes"), self.t("domains"))
 
-    @property
+    @cached_property
     def owned(self) -> DataFrame:
         return identity.owners(self.works.select("paper_id", "iitd_authors", "authors", "kerberos"), self.people)
 
-    @property
+    @cached_property
     def homes(self) -> DataFrame:
         return identity.with_unit(self.people, self.departments).select("faculty_id", "unit_name")
 
@@ -50,11 +50,11 @@ class Roles:
         """Numbered once per query."""
         return graph.positions(self.works)
 
-    @property
+    @cached_property
     def points(self) -> DataFrame:
         return self.labelled_works.select("paper_id", "title", "theme", "domain", "subdomain", "topic", F.col("publication_year").alias("year"), "citation_count").join(self.places, "paper_id")
 
-    @property
+    @cached_property
     def unit_points(self) -> DataFrame:
         """Positions by unit of the papers' people."""
         return self.owned.join(self.homes, "faculty_id").join(self.places, "paper_id").select("i", "unit_name").distinct()
