@@ -72,7 +72,7 @@ FAULT = tuple(
 )
 #: What the reader is to do about it.
 ORDER = tuple(
-    """please enable activate allow sign log retry try reload refresh return check verify confirm accept agree consent continue click wait persist minute second later switch turn cookies ray back home administrator support moved existed moment use private secure shown slow works best establish
+    """please enable activate allow sign retry try reload refresh return check verify confirm accept agree consent continue click wait persist minute second later switch turn cookies ray back home administrator support moved existed moment use private secure shown slow works best establish
     bitte aktivieren anmelden versuchen prüfen laden zustimmen später schalten erneut
     veuillez activez activer connectez reconnectez réessayez rechargez vérifiez acceptez tard
     favor active habilite inicie inténtelo intente recargue verifique acepte tarde nuevo
@@ -120,8 +120,7 @@ def system_share(passage: str) -> tuple[float, bool]:
     fault += status
     said = subject + fault + order
     share = said / max(1, said + own)
-    # what is said beside other things must ask for more than one thing
-    return share, said >= 2 and (fault > 0 or (subject > 0 and order > (share < ALONE)))
+    return share, said >= 2 and (fault > 0 or (subject > 0 and order > 0))
 
 
 def _about(sentence: str) -> bool:
