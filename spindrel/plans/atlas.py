@@ -274,9 +274,13 @@ def _(r: Roles):
     return _placed(r).select("i", "paper_id", "x", "y", "z")
 
 
+#: Points a node of these queries holds: few enough that the test tables make several levels.
+SHOWN_CAPACITY = 512
+
+
 @query("octree_nodes")
 def _(r: Roles):
-    return atlas.node_headers(atlas.octree(_placed(r)))
+    return atlas.node_headers(atlas.octree(_placed(r), SHOWN_CAPACITY))
 
 
 @query("tile_payloads")
@@ -285,7 +289,7 @@ def _(r: Roles):
 
     points = cut(_placed(r))
     box = atlas.bounds(points).first().asDict()
-    made = atlas.tiles(atlas.octree(points), box, atlas.dictionary(points, "theme"), atlas.dictionary(points, "domain"))
+    made = atlas.tiles(atlas.octree(points, SHOWN_CAPACITY), box, atlas.dictionary(points, "theme"), atlas.dictionary(points, "domain"))
     return made.select("node_key", "n_points", F.length("payload").cast("bigint").alias("n_bytes"), atlas.tile_count().alias("n_said"), F.md5("payload").alias("digest"))
 
 
