@@ -10,7 +10,7 @@ Dr. [[name:Anjali Gupta]] and Prof. [[name:John O'Neill]] both complained about
 We spoke to Professor [[name:Iyer]] on Monday and nothing happened.
 Parcels for the lab should go to [[address:14 Baker Street, London NW1 6XE]].
 I live at [[address:221 Hauz Khas Enclave, New Delhi 110016]] and the map puts me in Mumbai.
-Contact [[name:Rahul Verma]] at [[email:rahul.verma@iitx.ac.in]] if the upload fails.
+Contact [[name:Rahul Verma]] at [[email:rahul.verma@physx.ac.in]] if the upload fails.
 My SSN [[id_number:123-45-6789]] was shown on the page, please hide it.
 Call [[phone:+44 20 7946 0958]] or [[phone:(415) 555-2671]] during office hours.
 Passport [[id_number:K8123456]] is attached to the wrong account.
