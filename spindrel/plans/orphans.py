@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.orphans import lifetimes, orphan_counts, orphan_references, references
 from ..session import tune
