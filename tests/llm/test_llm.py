@@ -252,6 +252,28 @@ def test_candidates_are_those_of_brute_force(spark, monkeypatch, block):
     assert got == want and len(want) > 25
 
 
+def test_rivals_under_another_name_are_not_compared(spark, monkeypatch):
+    """Names with a twin say no less than others where the work's name is neither; large blocks must not compare all with all."""
+    names_ = [f"{pii_sample.word(random.Random(k), 3, 3).lower()}{end}" for k in range(20) for end in ("rol", "rok")]
+    works = [f"{name} limits of dry turbine layers forecasting in coastal salty {place} plants" for name in names_ for place in ("arid", "humid", "alpine")]
+    rows = [(side, i, t, 1) for side in (0, 1) for i, t in enumerate(works)]
+    frame = linkage.known_titles(linkage.read_titles(spark.createDataFrame(rows, "side int, id bigint, title string, n bigint")), len(works))
+    compared, compare = [], linkage._compare
+
+    def counting(pairs, *more):
+        compared.append(pairs.select("record", "title_id").distinct().count())
+        return compare(pairs, *more)
+
+    monkeypatch.setattr(linkage, "_compare", counting)
+    for few in (True, False):  # and the same without the terms in the tasks
+        monkeypatch.setattr(linkage, "SMALL_VOCABULARY", 200_000 if few else 10)
+        edges = {(x["record"], x["title_id"]): x["likeness"] for x in linkage.title_edges(frame, len(works), 0.68).collect()}
+        if few:
+            first = edges
+    assert edges == first and {(i, i) for i in range(len(works))} <= set(edges)
+    assert compared[0] <= 6 * len(works) < compared[1]  # a name and its twin, three places each
+
+
 def test_all_words_are_counted(spark):
     word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
     listed = spark.range(25_000).selectExpr("0 as side", "id", "2L as n").rdd.map(lambda r: (r[0], r[1], r[2], word(r[1]))).toDF("side int, id bigint, n bigint, word string")
