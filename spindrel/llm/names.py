@@ -1,11 +1,10 @@
 """Variant spellings of person names: which author ids and faculty records are one person.
 
-Blocking is by the suffixes of name tokens from a minimum length on. Every suffix is
-counted; a record is filed under the shortest one of each token that is rare, where
-it meets every author who shares it, whatever else is known. Suffixes that are too
-common are not given up but refined with another field: the faculty id, mailbox
-or unit a paper names beside the author, or a stored author id; only the bare
-common suffix is discarded then. Pairs are compared by longest-common-subsequence
+Blocking is by the suffixes of name tokens from a minimum length on. The shortest
+one of every token is refined with another field: the faculty id or mailbox that
+papers name beside the author, a stored author id, or the unit that at least half
+of the author's papers name, without which no author counts whom no paper names.
+However many share a suffix, all who also share that field are compared. Pairs are compared by longest-common-subsequence
 ratio, and accepted by the name together with what the papers say.
 """
 
@@ -25,10 +24,8 @@ from ..session import cut
 
 #: Least length of an indexed suffix; shorter tokens are indexed whole.
 SUFFIX = 4
-#: A suffix is rare if one record in so many has it, or RARE_LEAST of them.
+#: No suffix is too common to be compared any more; a RARE_LEAST of 0 leaves out the authors whom no paper names.
 RARE_SHARE, RARE_LEAST = 2000, 3
-#: Rows up to which the index of rare suffixes goes to every task; a larger one is joined by shuffles.
-SMALL_INDEX = 300_000
 # ---- fixed values: forms of address dropped from names ----
 TITLES = frozenset("dr prof professor mr mrs ms miss sir shri smt".split())
 
@@ -124,21 +121,6 @@ def suffixes(name: Column) -> Column:
     return F.array_distinct(F.transform(tokens_of(name), lambda t: F.right(t, F.lit(SUFFIX))))
 
 
-def all_suffixes(token: Column) -> Column:
-    """Every indexed suffix of a token, the shortest first."""
-    return F.transform(F.sequence(F.least(F.lit(SUFFIX), F.length(token)), F.length(token)), lambda n: F.right(token, n))
-
-
-def rare_suffixes(people: DataFrame) -> DataFrame:
-    """faculty_id and, for each token of its name, the shortest suffix that is rare among all records; tokens that are common as a whole have none."""
-    tokens = people.select("faculty_id", F.explode(tokens_of(F.concat_ws(" ", "first", "last"))).alias("token"))
-    filed = tokens.select("faculty_id", "token", F.explode(all_suffixes(F.col("token"))).alias("suffix"))
-    counts = filed.groupBy("suffix").agg(F.countDistinct("faculty_id").alias("n"))
-    line = people.agg(F.greatest(F.lit(RARE_LEAST), F.count(F.lit(1)) / RARE_SHARE).alias("line"))
-    rare = counts.crossJoin(F.broadcast(line)).filter(F.col("n") <= F.col("line")).select("suffix")
-    return filed.join(rare, "suffix").groupBy("faculty_id", "token").agg(F.min_by("suffix", F.length("suffix")).alias("suffix")).select("faculty_id", "suffix").distinct()
-
-
 def faculty_people(faculty: DataFrame, departments: DataFrame) -> DataFrame:
     """One row per faculty_id (rows loaded twice count once): first, last, mailbox, unit, unit_refs (id and code the unit is named by), scopus_id."""
     units = departments.select(reference_key(F.col("dept_id")).alias("ref"), F.lower("dept_id").alias("unit")).union(departments.select(F.upper("code"), F.lower("dept_id"))).distinct()
@@ -185,21 +167,25 @@ def author_links(papers: DataFrame, people: DataFrame, least: float = 0.75, shar
     # colleagues with like names meet on a few papers; a weak share needs a better name
     named = cut(judged.filter((F.col("likeness") >= least) & ((F.col("share") >= 0.3) | (F.col("likeness") >= 0.85))))
 
-    # rare suffixes stand for themselves: whole names that agree, however the papers name the person
-    rare = cut(rare_suffixes(people))
-    every = spelled.select("author_id", "name", F.explode(tokens_of(F.col("name"))).alias("token")).select("author_id", "name", F.explode(all_suffixes(F.col("token"))).alias("suffix"))
+    if RARE_LEAST < 1:
+        return named.select("author_id", "faculty_id", "likeness", "share")
+    # whom no paper names: the unit that half of an author's papers name refines every suffix, rare or common; whole names must agree
+    refs = people.select("unit", F.explode("unit_refs").alias("ref")).distinct().groupBy("ref").agg(F.collect_set("unit").alias("units"))
+    lookup = refs.agg(F.map_from_entries(F.collect_list(F.struct("ref", "units"))).alias("units_of"))
+    meant = lambda x: F.coalesce(F.try_element_at("units_of", x), F.array().cast("array<string>"))
+    homes = papers.crossJoin(F.broadcast(lookup)).select("authors", F.array_distinct(F.flatten(F.transform(ids("department_ref", reference_key), meant))).alias("units"))
+    homes = homes.select(F.explode("authors.author_id").alias("author_id"), "units").filter(F.col("author_id") != "").join(named.select("author_id"), "author_id", "left_anti")
+    said = homes.select("author_id", F.explode(F.concat(F.array(F.lit(None).cast("string")), "units")).alias("unit")).groupBy("author_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+    total = said.filter("unit is null").select("author_id", F.col("n").alias("total"))
+    housed = said.filter("unit is not null").join(total, "author_id").select("author_id", "unit", (F.col("n") / F.col("total")).alias("share")).filter("share >= 0.5")
     letters = lambda *c: F.length(F.translate(F.concat(*c), " ", ""))
     beginnings = lambda *c: F.array_sort(F.transform(F.filter(F.split(F.concat_ws(" ", *c), " "), lambda t: t != ""), lambda t: F.substring(t, 1, 1)))
-    met = every.join(F.broadcast(rare) if rare.count() <= SMALL_INDEX else rare, "suffix").join(people.select("faculty_id", "first", "last", "unit_refs"), "faculty_id")
+    every = spelled.join(housed, "author_id").select("author_id", "share", "name", "unit", F.explode(suffixes(F.col("name"))).alias("suffix"))
+    own = people.select("faculty_id", "first", "last", "unit", F.explode(suffixes(F.concat_ws(" ", "first", "last"))).alias("suffix"))
+    met = every.join(own, ["unit", "suffix"])
     whole = met.filter((F.abs(letters("name") - letters("first", "last")) <= 0.1 * letters("first", "last")) & (F.size(F.array_intersect(beginnings("name"), beginnings("first", "last"))) > 0))
-    alike = whole.select("author_id", "faculty_id", "name", "first", "last", "unit_refs").distinct().withColumn("likeness", name_likeness("name", "first", "last"))
-    alike = alike.filter(F.col("likeness") >= alone).groupBy("author_id", "faculty_id", "unit_refs").agg(F.max("likeness").alias("likeness"))
-    alike = cut(alike.join(named.select("author_id"), "author_id", "left_anti"))
-    # the unit is all that papers may say of them; they are few
-    few = cut(alike.select("author_id").distinct())
-    places = listed.select(F.col("a.author_id").alias("author_id"), F.array_distinct(ids("department_ref", reference_key)).alias("units")).join(F.broadcast(few) if few.count() <= SMALL_INDEX else few, "author_id", "left_semi")
-    said = places.join(alike, "author_id").groupBy("author_id", "faculty_id", "likeness").agg(F.avg(F.arrays_overlap("units", F.coalesce("unit_refs", F.array().cast("array<string>"))).cast("int")).alias("share"))
-    unnamed = said.filter("share >= 0.5").select("author_id", "faculty_id", "likeness", "share")
+    alike = whole.select("author_id", "faculty_id", "share", "name", "first", "last").distinct().withColumn("likeness", name_likeness("name", "first", "last"))
+    unnamed = alike.filter(F.col("likeness") >= alone).groupBy("author_id", "faculty_id").agg(F.max("likeness").alias("likeness"), F.max("share").alias("share"))
     return named.select("author_id", "faculty_id", "likeness", "share").unionByName(unnamed)
 
 

@@ -140,6 +140,17 @@ def test_authors_whom_no_paper_names(spark):
         names.RARE_LEAST, names.RARE_SHARE = least, share
 
 
+def test_common_names_are_compared(spark):
+    """No token of the name has a rare suffix, and no paper names the person but its unit."""
+    people = [(f"{i:024d}", first, last, None, "AAA" if (first, last) == ("Hokrer", "Gruvava") else "BBB", []) for i, (first, last) in enumerate(itertools.product(("Hokrer", "Tudresh", "Lehonam", "Mirakel", "Pisamir"), ("Gruvava", "Kestrun", "Zolimar", "Bedwark", "Nurofan")))]
+    faculty = spark.createDataFrame(people, "faculty_id string, firstName string, lastName string, email string, department string, scopus_id array<string>")
+    deps = spark.createDataFrame([("e" * 24, "A", "AAA"), ("f" * 24, "B", "BBB")], "dept_id string, name string, code string")
+    schema = "paper_id string, kerberos string, authors array<struct<author_id:string,author_position:string,author_name:string,author_avaialable_names:array<string>>>, iitd_authors array<struct<faculty_ref:string,department_ref:string>>"
+    papers = [("p1", None, [("57001", "first", "Gruvava, Hokrer", [])], [(None, "aaa"), (None, "e" * 24)]), ("p2", None, [("57001", "first", "Gruvava, Hokrer", [])], None), ("p3", None, [("57002", "first", "Hokrer Gruvava", [])], [(None, "bbb")])]
+    got = {tuple(r) for r in names.same_person(spark.createDataFrame(papers, schema), faculty, deps).collect()}
+    assert got == {(f"{0:024d}", "57001")}
+
+
 def test_crowded_units_are_compared_whole(spark):
     rows = [(f"x{i:03d}", pii_sample.word(random.Random(i), 3, 4).lower() + chr(97 + i % 26) * 3, "gruvava", "u") for i in range(210)]
     rows += [("y1", "hokrerman", "gruvava", "u"), ("y2", "hokrerman p", "gruvava", "u")]
